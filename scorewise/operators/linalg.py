@@ -1,8 +1,8 @@
 """Sufficient statistics (one Gram pass) and everything that rests on them.
 
-``moments`` reads the data twice (means, then centred cross products) with
-plain aggregate expressions — partial aggregation on every executor, one
-p×p result.  PCA, truncated SVD, condition numbers, VIF and OLS with backward
+``moments`` reads the data once: each partition reduces its rows to a count,
+a mean vector and a centred scatter matrix, and the driver merges those
+p×p summaries (one per partition).  PCA, truncated SVD, condition numbers, VIF and OLS with backward
 elimination are then solved on the p×p summary without further passes, and
 their small result tables are returned as DataFrames.
 """
@@ -55,24 +55,52 @@ class Moments:
         return self.csum[np.ix_(idx, idx)]
 
 
+def _partition_moments(cols: list[str]):
+    """Per-partition count, mean and centred scatter (numpy on Arrow batches)."""
+
+    def run(batches):
+        import pandas as pd
+
+        n, mean, scatter = 0.0, np.zeros(len(cols)), np.zeros((len(cols), len(cols)))
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float)
+            if not len(x):
+                continue
+            nb = float(len(x))
+            mb = x.mean(axis=0)
+            xc = x - mb
+            sb = xc.T @ xc
+            delta = mb - mean
+            tot = n + nb
+            scatter = scatter + sb + np.outer(delta, delta) * (n * nb / tot)
+            mean = mean + delta * (nb / tot)
+            n = tot
+        if n:
+            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "scatter": [scatter.ravel().tolist()]})
+
+    return run
+
+
 def moments(df: DataFrame, cols: list[str]) -> Moments:
-    """Count, means and centred cross products of ``cols`` over complete rows."""
+    """Count, means and centred cross products of ``cols`` over complete rows.
+
+    One pass: every partition reduces its rows to (n, mean, scatter) in numpy
+    (p + p² numbers), and the driver merges the per-partition summaries with
+    the pairwise update of Chan et al. — stable, no second scan.
+    """
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    first = data.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)]).first()
-    n = float(first["_n"])
-    mean = np.array([first[f"_m{i}"] or 0.0 for i in range(len(cols))], dtype=float)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    second = data.agg(
-        *[
-            F.sum((F.col(cols[i]) - F.lit(mean[i])) * (F.col(cols[j]) - F.lit(mean[j]))).alias(f"_c{i}_{j}")
-            for i, j in pairs
-        ]
-    ).first()
-    csum = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        v = second[f"_c{i}_{j}"] or 0.0
-        csum[i, j] = csum[j, i] = v
-    return Moments(list(cols), n, mean, csum)
+    schema = "n double, mean array<double>, scatter array<double>"
+    parts = data.mapInPandas(_partition_moments(list(cols)), schema).collect()
+    p = len(cols)
+    n, mean, scatter = 0.0, np.zeros(p), np.zeros((p, p))
+    for r in parts:
+        nb, mb, sb = float(r["n"]), np.array(r["mean"]), np.array(r["scatter"]).reshape(p, p)
+        delta = mb - mean
+        tot = n + nb
+        scatter = scatter + sb + np.outer(delta, delta) * (n * nb / tot)
+        mean = mean + delta * (nb / tot)
+        n = tot
+    return Moments(list(cols), n, mean, scatter)
 
 
 def add_constant(df: DataFrame, cols: list[str], name: str = CONST) -> DataFrame:

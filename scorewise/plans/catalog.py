@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scorewise.plans import registry
-from scorewise.plans import relational  # noqa: F401
+from scorewise.plans import analytics, relational  # noqa: F401
 
 
 def queries():
