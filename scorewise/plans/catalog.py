@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scorewise.plans import registry
-from scorewise.plans import analytics, neighbors_q, relational  # noqa: F401
+from scorewise.plans import analytics, classifiers, neighbors_q, relational  # noqa: F401
 
 
 def queries():
