@@ -87,6 +87,16 @@ def wss_single_cluster(df: DataFrame, vec_col: str = "v") -> DataFrame:
     return per_dim.agg(F.sum("s").alias("wss"))
 
 
+def _exact_distances(xl: np.ndarray, xr: np.ndarray, chunk: int = 64) -> np.ndarray:
+    """Euclidean distances from direct differences (no |a|²+|b|²-2ab cancellation),
+    in row chunks so the temporary stays at chunk × |xr| × dim."""
+    out = np.empty((len(xl), len(xr)))
+    for i in range(0, len(xl), chunk):
+        diff = xl[i:i + chunk, None, :] - xr[None, :, :]
+        out[i:i + chunk] = np.sqrt((diff * diff).sum(-1))
+    return out
+
+
 def silhouette(
     df: DataFrame, label_cols: list[str], id_col: str = "id", vec_col: str = "v", block_rows: int = 2048
 ) -> DataFrame:
@@ -109,8 +119,7 @@ def silhouette(
         if lp.empty or rp.empty:
             return pd.DataFrame({"id": [], "s": [], "cluster": [], "dsum": [], "cnt": []})
         xl, xr = _as_matrix(lp["v"]), _as_matrix(rp["v"])
-        d2 = (xl * xl).sum(1)[:, None] + (xr * xr).sum(1)[None, :] - 2.0 * xl @ xr.T
-        d = np.sqrt(np.clip(d2, 0.0, None))
+        d = _exact_distances(xl, xr)
         labs = np.stack([np.asarray(v) for v in rp["labs"].to_numpy()])
         ids_out, s_out, c_out, sum_out, cnt_out = [], [], [], [], []
         lids = lp["id"].to_numpy()

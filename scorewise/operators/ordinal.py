@@ -24,7 +24,8 @@ DEFAULT_ROWS_PER_BUCKET = 2_000_000
 _BUCKET = "_sw_bucket"
 
 
-def _bucketed(df: DataFrame, order_col: str, rows_per_bucket: int) -> DataFrame:
+def _bucketed(df: DataFrame, order_col: str, rows_per_bucket: int | None) -> DataFrame:
+    rows_per_bucket = rows_per_bucket or DEFAULT_ROWS_PER_BUCKET
     n = df.count()
     nb = max(1, math.ceil(n / rows_per_bucket))
     if nb == 1:
@@ -45,7 +46,7 @@ def running_totals(
     group_cols: tuple[str, ...] | list[str] = (),
     inclusive: bool = True,
     descending: bool = False,
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Add running sums of ``values`` in ``order_cols`` order within ``group_cols``.
 
@@ -98,7 +99,7 @@ def with_row_index(
     order_cols: list[str] | str,
     name: str = "row_idx",
     group_cols: tuple[str, ...] | list[str] = (),
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in ``order_cols`` order (within ``group_cols``)."""
     if isinstance(order_cols, str):
