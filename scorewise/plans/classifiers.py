@@ -258,3 +258,96 @@ def mlp_grid(spark, sf):
         .build()
     )
     return classify.grid_search(est, grid, d.train, CV_FOLDS)[1]
+
+
+# --------------------------------------------------------------------------- post-pruning (C3)
+
+def _ccp(spark, sf):
+    from scorewise.operators import prune
+
+    d = model_data(spark, sf)
+    model = DecisionTreeClassifier(impurity="gini", maxDepth=30, maxBins=64, seed=SEED).fit(d.train)
+    nodes = prune.load_nodes(spark, model)
+    counts = {
+        "train": prune.leaf_label_counts(model, d.train),
+        "test": prune.leaf_label_counts(model, d.test),
+    }
+    return prune.pruning_path(nodes, counts)
+
+
+@query("dt_ccp_path")
+def dt_ccp_path(spark, sf):
+    rows = [(s, float(a), float(i), int(n)) for s, a, i, n, _ in _ccp(spark, sf)]
+    df = spark.createDataFrame(rows, "step INT, ccp_alpha DOUBLE, impurity DOUBLE, n_leaves INT")
+    return df.select("step", round_even("ccp_alpha", 9).alias("ccp_alpha"), round_even("impurity", 9).alias("impurity"), "n_leaves")
+
+
+@query("dt_ccp_curve")
+def dt_ccp_curve(spark, sf):
+    """Train / test accuracy of every pruned subtree; best alpha = best test accuracy (first on ties)."""
+    rows = [(s, float(a), int(n), float(acc["train"]), float(acc["test"])) for s, a, _, n, acc in _ccp(spark, sf)]
+    best = max(rows, key=lambda r: (r[4], -r[0]))[0]
+    out = [r + (r[0] == best,) for r in rows]
+    df = spark.createDataFrame(out, "step INT, ccp_alpha DOUBLE, n_leaves INT, train_accuracy DOUBLE, test_accuracy DOUBLE, is_best BOOLEAN")
+    return df.select(
+        "step", round_even("ccp_alpha", 9).alias("ccp_alpha"), "n_leaves",
+        round_even("train_accuracy", 6).alias("train_accuracy"), round_even("test_accuracy", 6).alias("test_accuracy"), "is_best",
+    )
+
+
+# --------------------------------------------------------------------------- KNN / SVM grids, leaderboard
+
+@query("knn_grid")
+def knn_grid(spark, sf):
+    """k ∈ {2, 3, 4} scored with the stratified folds (one k-NN join per fold at max k)."""
+    from scorewise.operators import neighbors
+
+    d = model_data(spark, sf)
+    ks = [2, 3, 4]
+    accs = {k: [] for k in ks}
+    for f in range(CV_FOLDS):
+        tr, va = d.train.filter(F.col("fold") != f), d.train.filter(F.col("fold") == f)
+        nn = neighbors.knn_join(va.select(F.col("key").alias("id"), "v"), tr.select(F.col("key").alias("id"), "v"), max(ks))
+        votes = neighbors.vote(nn, tr.select(F.col("key").alias("id"), "label"), ks, "id", "label")
+        truth = va.select(F.col("key").alias("qid"), "label")
+        res = votes.join(truth, "qid").groupBy("k").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a"))
+        for r in res.collect():
+            accs[int(r["k"])].append(float(r["a"]))
+    rows = [(i, f"k={k}", sum(accs[k]) / len(accs[k])) for i, k in enumerate(ks)]
+    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
+    return spark.createDataFrame(
+        [(i, p, m, i == best) for i, p, m in rows], "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN"
+    ).select("point", "params", round_even("mean_accuracy", 6).alias("mean_accuracy"), "is_best")
+
+
+@query("svm_grid")
+def svm_grid(spark, sf):
+    """Kernel SVM grid: RBF (random Fourier features) γ ∈ {1, 0.001} × C ∈ {0.1, 10}."""
+    d = model_data(spark, sf)
+    dim = len(d.feats)
+    rows = []
+    for gamma in (1.0, 0.001):
+        z = classify.random_fourier_features(d.train.drop("features"), "v", dim, 200, gamma, SEED)
+        z = cut_lineage(z)
+        for c in (0.1, 10.0):
+            accs = []
+            for f in range(CV_FOLDS):
+                m = LinearSVC(maxIter=100, regParam=_reg(c, d.n_train), standardization=False).fit(z.filter(F.col("fold") != f))
+                a = m.transform(z.filter(F.col("fold") == f)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+                accs.append(float(a))
+            rows.append((len(rows), f"kernel=rbf, gamma={gamma}, C={c}", sum(accs) / len(accs)))
+    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
+    return spark.createDataFrame(
+        [(i, p, m, i == best) for i, p, m in rows], "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN"
+    ).select("point", "params", round_even("mean_accuracy", 6).alias("mean_accuracy"), "is_best")
+
+
+@query("model_leaderboard")
+def model_leaderboard(spark, sf):
+    """E8 over fitted models: one metrics row per classifier on the same test split."""
+    parts = [dt_basic, logreg, linear_svm, gaussian_nb, random_forest, mlp]
+    out = None
+    for fn in parts:
+        row = fn(spark, sf)
+        out = row if out is None else out.unionByName(row)
+    return out
