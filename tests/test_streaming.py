@@ -11,7 +11,10 @@ def test_credit_stream_labels(spark, tmp_path):
     q = credit_stream(spark, str(src)).writeStream.format("memory").queryName("labelled").start()
     try:
         q.processAllAvailable()
-        got = sorted((r["MONTHS_BALANCE"], r["response"]) for r in spark.table("labelled").collect())
+        got = sorted(
+            ((r["MONTHS_BALANCE"], r["response"]) for r in spark.table("labelled").collect()),
+            key=lambda t: (t[0], t[1] is not None, t[1] or 0.0),
+        )
     finally:
         q.stop()
     assert got == [(-2, 0.0), (-1, None), (-1, 1.0)]
