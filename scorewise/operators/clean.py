@@ -1,9 +1,9 @@
 """Key hygiene, de-duplication, imputation and the applicant/credit join.
 
 Everything is keyed on ``ID`` so Catalyst can reuse one hash partitioning of
-each side for the semi-joins, the keep-first aggregate and the inner join.
-Keep-first de-duplication is an aggregate (``min_by`` on the ordinal) rather
-than a window, so partial aggregation collapses a hot key map-side.
+each side for the keep-first aggregate and the inner join.  Keep-first and
+reject de-duplication are aggregates (``min_by`` on the ordinal) rather than
+windows or joins, so partial aggregation collapses a hot key map-side.
 """
 
 from __future__ import annotations
@@ -55,10 +55,17 @@ def dedup_keep_first(df: DataFrame, key: str = "ID", order_col: str = "ROW_NO")
     return picked.select(key, *[F.col(f"_first.{c}").alias(c) for c in others]).select(*df.columns)
 
 
-def dedup_reject(df: DataFrame, key: str = "ID") -> DataFrame:
-    """``drop_duplicates(key, keep=False)``: drop every row of a repeated key."""
-    singles = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(key)
-    return df.join(singles, on=key, how="left_semi")
+def dedup_reject(df: DataFrame, key: str = "ID", order_col: str = "ROW_NO") -> DataFrame:
+    """``drop_duplicates(key, keep=False)``: drop every row of a repeated key.
+
+    One aggregate (count + the row itself): a hot key is reduced map-side to
+    one partial row per task and then dropped, never shuffled in full.
+    """
+    others = [c for c in df.columns if c != key]
+    agg = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(*others), F.col(order_col)).alias("_row")
+    )
+    return agg.filter(F.col("_n") == 1).select(key, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
 
 
 def dup_key_rows(df: DataFrame, key: str = "ID", order_col: str = "ROW_NO") -> DataFrame:
@@ -92,6 +99,22 @@ def clean_applicant_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def occupation_mode_after_semi_join(app: DataFrame, credit: DataFrame, col: str = "OCCUPATION_TYPE",
+                                    key: str = "ID") -> DataFrame:
+    """Mode of ``col`` over the applicants that survive the semi-join, duplicates included.
+
+    Rows are pre-aggregated to (key, value, count) before any shuffle, so a hot
+    key reaches the semi-join as a handful of rows instead of all its copies.
+    """
+    counts = app.groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
+    ids = credit.select(key).distinct()
+    kept = counts.join(ids, on=key, how="left_semi")
+    per_value = kept.filter(F.col(col).isNotNull()).groupBy(col).agg(F.sum("_n").alias("_n"))
+    return per_value.orderBy(F.col("_n").desc(), F.col(col).asc()).limit(1).select(
+        F.col(col).alias("mode_value"), F.col("_n").alias("mode_count")
+    )
+
+
 def joined_applicants(
     app: DataFrame,
     credit: DataFrame,
@@ -99,21 +122,28 @@ def joined_applicants(
     key: str = "ID",
     order_col: str = "ROW_NO",
 ) -> DataFrame:
-    """Key hygiene + join, in the order the reference applies it.
-
-    semi-join both ways -> mode of occupation over the surviving applicants ->
-    fill -> keep-first per key on both sides (or reject repeated applicants) ->
-    inner join.  The mode is taken after the first semi-join and before
-    de-duplication, so the semi-join cannot be dropped.
+    """Key hygiene + join with the reference's semantics, in a skew-safe order.
+
+    The reference semi-joins both ways, takes the occupation mode over the
+    surviving applicants (duplicates included), fills, keeps the first row per
+    key on both sides and inner-joins.  Semi-joins keep or drop all rows of a
+    key together and the fill is row-wise, so both commute with keep-first:
+    the plan de-duplicates each side first (a partial aggregate collapses hot
+    keys map-side), joins the two ID-partitioned results (which implies both
+    semi-joins), and fills with the mode computed on pre-aggregated counts.
     """
     if duplicates == "reject":
-        app = dedup_reject(app, key)
-    app = semi_join(app, credit, key)
-    credit = semi_join(credit, app, key)
-    app = impute_mode(app, "OCCUPATION_TYPE")
-    app = dedup_keep_first(app, key, order_col)
-    credit = dedup_keep_first(credit, key, order_col).drop(order_col)
-    return app.join(credit, on=key, how="inner")
+        app = dedup_reject(app, key, order_col)
+    mode = F.broadcast(occupation_mode_after_semi_join(app, credit, "OCCUPATION_TYPE", key).select("mode_value"))
+    app_first = dedup_keep_first(app, key, order_col)
+    credit_first = dedup_keep_first(credit, key, order_col).drop(order_col)
+    filled = app_first.crossJoin(mode).select(
+        *[
+            F.coalesce(F.col(c), F.col("mode_value")).alias(c) if c == "OCCUPATION_TYPE" else F.col(c)
+            for c in app_first.columns
+        ]
+    )
+    return filled.join(credit_first, on=key, how="inner")
 
 
 def prepared(app: DataFrame, credit: DataFrame, duplicates: str = "keep_first") -> DataFrame:
