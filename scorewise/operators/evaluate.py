@@ -76,7 +76,8 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", scale:
         F.count_if(F.col(label) != 1).cast("double").alias("N"),
     )
     cum = running_totals(
-        g, ["threshold"], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, descending=True
+        g, ["threshold"], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, descending=True,
+        materialize=True,
     )
     pts = cum.crossJoin(F.broadcast(tot)).select(
         "threshold",
@@ -90,7 +91,9 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", scale:
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> Column | DataFrame:
     """Area under the ROC curve (trapezoid; ties count one half), distributed."""
     g = _score_groups(df, label, score)
-    cum = running_totals(g, ["threshold"], {"tp_before": F.col("pos")}, inclusive=False, descending=True)
+    cum = running_totals(
+        g, ["threshold"], {"tp_before": F.col("pos")}, inclusive=False, descending=True, materialize=True
+    )
     return cum.agg(
         F.try_divide(
             F.sum(F.col("neg") * (F.col("tp_before") + F.col("pos") / 2.0)),

@@ -20,6 +20,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewise.session import cut_lineage
+
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 _BUCKET = "_sw_bucket"
 
@@ -47,15 +49,18 @@ def running_totals(
     inclusive: bool = True,
     descending: bool = False,
     rows_per_bucket: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Add running sums of ``values`` in ``order_cols`` order within ``group_cols``.
 
     ``order_cols[0]`` must be numeric; the full ``order_cols`` list should be
-    unique within a group for a deterministic result.
+    unique within a group for a deterministic result.  The input is read three
+    times (count, cut points, windows); pass ``materialize=True`` when it is an
+    expensive plan so it is checkpointed once instead of recomputed.
     """
     group_cols = list(group_cols)
     first = order_cols[0]
-    work = df
+    work = cut_lineage(df) if materialize else df
     if descending:
         work = work.withColumn("_sw_neg", -F.col(first).cast("double"))
         key = ["_sw_neg"] + order_cols[1:]
@@ -100,13 +105,14 @@ def with_row_index(
     name: str = "row_idx",
     group_cols: tuple[str, ...] | list[str] = (),
     rows_per_bucket: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """0-based position of each row in ``order_cols`` order (within ``group_cols``)."""
     if isinstance(order_cols, str):
         order_cols = [order_cols]
     out = running_totals(
         df, list(order_cols), {name: F.lit(1).cast("long")}, group_cols, inclusive=False,
-        rows_per_bucket=rows_per_bucket,
+        rows_per_bucket=rows_per_bucket, materialize=materialize,
     )
     return out.withColumn(name, F.col(name).cast("long"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from scorewise.functions.scalar import round_even
 from scorewise.operators.ordinal import with_row_index
+from scorewise.session import cut_lineage
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -158,6 +159,7 @@ def exact_quantiles(
         *( [F.col(tie_col).alias("_t")] if tie_col else [] ),
     )
     order = ["_v"] + (["_t"] if tie_col else [])
+    base = cut_lineage(base)  # narrow (group, value) projection, read several times below
     ranked = with_row_index(base, order, "_r", group_cols)
     sizes = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     pos = sizes

@@ -30,6 +30,9 @@ from scorewise.session import cut_lineage
 
 SEED = 5805
 CV_FOLDS = 3
+# Deep trees: cache node ids (checkpointed to spark.checkpoint.dir every 10
+# iterations) instead of re-walking every tree for every row at each level.
+TREE_OPTS = {"cacheNodeIds": True, "maxMemoryInMB": 512}
 DROP = ("ROW_NO", "ID", "STATUS", "CNT_CHILDREN", "response")
 
 
@@ -77,14 +80,14 @@ def _reg(c: float, n: int) -> float:
 @query("dt_basic")
 def dt_basic(spark, sf):
     d = model_data(spark, sf)
-    est = DecisionTreeClassifier(impurity="gini", maxDepth=30, maxBins=64, seed=SEED)
+    est = DecisionTreeClassifier(impurity="gini", maxDepth=30, maxBins=64, seed=SEED, **TREE_OPTS)
     return classify.fit_score(est, d.train, d.test, "decision_tree")[1]
 
 
 @query("dt_grid")
 def dt_grid(spark, sf):
     d = model_data(spark, sf)
-    est = DecisionTreeClassifier(maxBins=64, seed=SEED)
+    est = DecisionTreeClassifier(maxBins=64, seed=SEED, **TREE_OPTS)
     grid = ParamGridBuilder().addGrid(est.maxDepth, [2, 8]).addGrid(est.impurity, ["gini", "entropy"]).build()
     return classify.grid_search(est, grid, d.train, CV_FOLDS)[1]
 
@@ -95,7 +98,7 @@ def cv_accuracy(spark, sf):
     d = model_data(spark, sf)
     rows = []
     for f in range(CV_FOLDS):
-        m = DecisionTreeClassifier(maxDepth=30, maxBins=64, seed=SEED).fit(d.train.filter(F.col("fold") != f))
+        m = DecisionTreeClassifier(maxDepth=30, maxBins=64, seed=SEED, **TREE_OPTS).fit(d.train.filter(F.col("fold") != f))
         acc = m.transform(d.train.filter(F.col("fold") == f)).agg(
             F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")
         ).first()["a"]
@@ -188,21 +191,21 @@ def gaussian_nb_grid(spark, sf):
 @query("random_forest")
 def random_forest(spark, sf):
     d = model_data(spark, sf)
-    est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=15, seed=SEED)
+    est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=15, seed=SEED, **TREE_OPTS)
     return classify.fit_score(est, d.train, d.test, "random_forest")[1]
 
 
 @query("rf_grid")
 def rf_grid(spark, sf):
     d = model_data(spark, sf)
-    est = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=SEED)
+    est = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS)
     grid = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).addGrid(est.numTrees, [50, 100]).build()
     return classify.grid_search(est, grid, d.train, CV_FOLDS)[1]
 
 
 def _importances(spark, sf):
     d = model_data(spark, sf)
-    m = RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", seed=SEED).fit(d.train)
+    m = RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS).fit(d.train)
     imp = m.featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(d.feats, imp)]
     return spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
@@ -266,7 +269,7 @@ def _ccp(spark, sf):
     from scorewise.operators import prune
 
     d = model_data(spark, sf)
-    model = DecisionTreeClassifier(impurity="gini", maxDepth=30, maxBins=64, seed=SEED).fit(d.train)
+    model = DecisionTreeClassifier(impurity="gini", maxDepth=30, maxBins=64, seed=SEED, **TREE_OPTS).fit(d.train)
     nodes = prune.load_nodes(spark, model)
     counts = {
         "train": prune.leaf_label_counts(model, d.train),

@@ -282,8 +282,10 @@ NB_SMOOTHING = 1e-9
 def _nb_data(spark, sf):
     from scorewise.operators.encode import standardize
 
+    from scorewise.session import cut_lineage
+
     enc = encoded(spark, sf).filter(F.col("response").isNotNull())
-    z = standardize(enc, STD_COLS, 2)
+    z = cut_lineage(standardize(enc, STD_COLS, 2).select("ID", "response", *NB_FEATS))  # read by fit and predict
     b = split_bucket("ID", SEED)
     return z.filter(b >= 20), z.filter(b < 20)
 
