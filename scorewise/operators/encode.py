@@ -15,16 +15,23 @@ MAX_LEVELS = 10_000
 
 
 def levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column (one pass; bounded by ``max_levels``)."""
-    sets = df.agg(
-        *[F.slice(F.array_sort(F.collect_set(F.col(c).cast("string"))), 1, max_levels + 1).alias(c) for c in cols]
-    ).first()
-    out = {}
-    for c in cols:
-        vals = list(sets[c] or [])
+    """Sorted distinct non-null values per column.
+
+    One distributed distinct over (column, value) pairs; at most
+    ``len(cols) * (max_levels + 1)`` rows reach the driver, and a column with
+    more than ``max_levels`` levels is rejected instead of collected.
+    """
+    pairs = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols])).alias("p")
+    ).select("p.c", "p.v").filter(F.col("v").isNotNull()).distinct()
+    rows = pairs.limit(len(cols) * (max_levels + 1)).collect()
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    for c, vals in out.items():
         if len(vals) > max_levels:
             raise ValueError(f"column {c} has more than {max_levels} levels")
-        out[c] = sorted(vals)
+        vals.sort()
     return out
 
 

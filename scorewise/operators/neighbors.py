@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewise.session import cut_lineage
+
 
 def _as_matrix(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
@@ -59,6 +61,7 @@ def knn_join(
     n_pivots: int = 32,
     block_rows: int = 4096,
     seed: int = 17,
+    materialize: bool = True,
 ) -> DataFrame:
     """For every query row its ``k`` nearest reference rows.
 
@@ -87,6 +90,8 @@ def knn_join(
             )
 
     rc = r.mapInPandas(assign, "rid long, rv array<double>, grp long, cell int, dcell double")
+    if materialize:
+        rc = cut_lineage(rc)  # read by the cell statistics and by the block join
     stats = rc.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dcell").alias("radius")).collect()
     by_group: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for g in {s["grp"] for s in stats}:
