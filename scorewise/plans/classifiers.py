@@ -61,6 +61,8 @@ def model_data(spark, sf) -> ModelData:
     train, test = rows.filter(b >= 20), rows.filter(b < 20)
     bal = resample.smote(train, "label", "id", "v", k=5, seed=SEED)
     bal = bal.withColumn("key", F.xxhash64("id", F.coalesce(F.col("copy"), F.lit(-1))))
+    # fold ranking reads its input three times: materialise the balanced set once
+    bal = cut_lineage(bal.select("key", "id", "label", "v"))
     bal = resample.stratified_folds(bal, "label", "key", CV_FOLDS, seed=SEED)
     bal = classify.vectors(bal.select("key", "id", "label", "v", "fold"))
     test = classify.vectors(test)
