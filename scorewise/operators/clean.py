@@ -49,10 +49,17 @@ def impute_mode(df: DataFrame, col: str) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, key: str = "ID", order_col: str = "ROW_NO") -> DataFrame:
-    """``drop_duplicates(key)``: the first row per key in ``order_col`` order."""
+    """``drop_duplicates(key)``: the first row per key in ``order_col`` order.
+
+    One ``min_by`` per column (the ordinal is unique, so all values come from
+    the same row).  Separate aggregates let Catalyst prune the columns a caller
+    never reads, so they are not carried through the shuffle.
+    """
     others = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("_first"))
-    return picked.select(key, *[F.col(f"_first.{c}").alias(c) for c in others]).select(*df.columns)
+    picked = df.groupBy(key).agg(
+        *[(F.min(order_col) if c == order_col else F.min_by(F.col(c), F.col(order_col))).alias(c) for c in others]
+    )
+    return picked.select(*df.columns)
 
 
 def dedup_reject(df: DataFrame, key: str = "ID", order_col: str = "ROW_NO") -> DataFrame:
@@ -63,9 +70,10 @@ def dedup_reject(df: DataFrame, key: str = "ID", order_col: str = "ROW_NO") -> D
     """
     others = [c for c in df.columns if c != key]
     agg = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(*others), F.col(order_col)).alias("_row")
+        F.count(F.lit(1)).alias("_n"),
+        *[(F.min(order_col) if c == order_col else F.min_by(F.col(c), F.col(order_col))).alias(c) for c in others],
     )
-    return agg.filter(F.col("_n") == 1).select(key, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
+    return agg.filter(F.col("_n") == 1).select(*df.columns)
 
 
 def dup_key_rows(df: DataFrame, key: str = "ID", order_col: str = "ROW_NO") -> DataFrame:
