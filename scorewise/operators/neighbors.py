@@ -108,26 +108,27 @@ def knn_join(
             if not len(x):
                 continue
             d = _dist_to(x, piv)
-            out_q, out_g, out_c = [], [], []
-            for i, g in enumerate(pdf["grp"].to_numpy()):
+            groups = pdf["grp"].to_numpy()
+            parts = []
+            for g in np.unique(groups):
                 if g not in by_group:
                     continue
+                rows = np.nonzero(groups == g)[0]
                 cells, ns, rad = by_group[g]
-                dq = d[i, cells]
-                ub = dq + rad
-                order = np.argsort(ub, kind="stable")
-                cum = np.cumsum(ns[order])
-                hit = np.searchsorted(cum, need)
-                bound = ub[order[hit]] if hit < len(order) else math.inf
-                keep = cells[(dq - rad) <= bound + 1e-9]
-                out_q.extend([i] * len(keep))
-                out_g.extend([g] * len(keep))
-                out_c.extend(keep.tolist())
-            if out_q:
-                idx = np.array(out_q)
+                dq = d[np.ix_(rows, cells)]
+                ub = dq + rad[None, :]
+                order = np.argsort(ub, axis=1, kind="stable")
+                cum = np.cumsum(ns[order], axis=1)
+                enough = cum >= need
+                hit = enough.argmax(axis=1)
+                bound = np.where(enough.any(axis=1), np.take_along_axis(ub, order, axis=1)[np.arange(len(rows)), hit], np.inf)
+                keep_r, keep_c = np.nonzero((dq - rad[None, :]) <= bound[:, None] + 1e-9)
+                parts.append((rows[keep_r], np.full(len(keep_r), g, dtype="int64"), cells[keep_c]))
+            if parts:
+                idx = np.concatenate([p[0] for p in parts])
                 yield pd.DataFrame(
                     {"qid": pdf["qid"].to_numpy()[idx], "qv": pdf["qv"].to_numpy()[idx],
-                     "grp": np.array(out_g, dtype="int64"), "cell": np.array(out_c, dtype="int32")}
+                     "grp": np.concatenate([p[1] for p in parts]), "cell": np.concatenate([p[2] for p in parts]).astype("int32")}
                 )
 
     qc = q.mapInPandas(candidates, "qid long, qv array<double>, grp long, cell int")
@@ -158,22 +159,27 @@ def knn_join(
             return pd.DataFrame({"qid": [], "nid": [], "distance": []})
         xq, xr = _as_matrix(qpdf["qv"]), _as_matrix(rpdf["rv"])
         qids, rids = qpdf["qid"].to_numpy(), rpdf["rid"].to_numpy()
-        d2 = (xq * xq).sum(1)[:, None] + (xr * xr).sum(1)[None, :] - 2.0 * xq @ xr.T
+        mu = xr.mean(axis=0)  # centring shrinks the cancellation of the |a|²+|b|²-2ab screen
+        qc_, rc_ = xq - mu, xr - mu
+        d2 = (qc_ * qc_).sum(1)[:, None] + (rc_ * rc_).sum(1)[None, :] - 2.0 * qc_ @ rc_.T
         if exclude_self:
             d2[qids[:, None] == rids[None, :]] = np.inf
         m = min(need + 4, xr.shape[0])
-        top = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < xr.shape[0] else np.tile(np.arange(xr.shape[0]), (len(xq), 1))
-        out_q, out_n, out_d = [], [], []
-        for i in range(len(xq)):
-            cand = top[i]
-            cand = cand[np.isfinite(d2[i, cand])]
-            exact = np.sqrt(((xr[cand] - xq[i]) ** 2).sum(1))
-            order = np.lexsort((rids[cand], exact))[:k]
-            out_q.extend([qids[i]] * len(order))
-            out_n.extend(rids[cand][order].tolist())
-            out_d.extend(exact[order].tolist())
-        return pd.DataFrame({"qid": np.array(out_q, dtype="int64"), "nid": np.array(out_n, dtype="int64"),
-                             "distance": np.array(out_d, dtype=float)})
+        if m < xr.shape[0]:
+            top = np.argpartition(d2, m - 1, axis=1)[:, :m]
+        else:
+            top = np.tile(np.arange(xr.shape[0]), (len(xq), 1))
+        # exact distances of the few candidates (no cancellation), then order by (distance, id)
+        diff = xr[top] - xq[:, None, :]
+        exact = np.sqrt((diff * diff).sum(-1))
+        exact[~np.isfinite(np.take_along_axis(d2, top, axis=1))] = np.inf
+        cand_ids = rids[top]
+        rank = np.lexsort((cand_ids, exact), axis=1)[:, :k]
+        ex_k = np.take_along_axis(exact, rank, axis=1)
+        id_k = np.take_along_axis(cand_ids, rank, axis=1)
+        ok = np.isfinite(ex_k)
+        q_k = np.repeat(qids[:, None], id_k.shape[1], axis=1)
+        return pd.DataFrame({"qid": q_k[ok].astype("int64"), "nid": id_k[ok].astype("int64"), "distance": ex_k[ok]})
 
     partial = (
         qside.groupBy("grp", "cell", "qb", "rb")
