@@ -164,22 +164,25 @@ def knn_join(
         d2 = (qc_ * qc_).sum(1)[:, None] + (rc_ * rc_).sum(1)[None, :] - 2.0 * qc_ @ rc_.T
         if exclude_self:
             d2[qids[:, None] == rids[None, :]] = np.inf
-        m = min(need + 4, xr.shape[0])
-        if m < xr.shape[0]:
-            top = np.argpartition(d2, m - 1, axis=1)[:, :m]
-        else:
-            top = np.tile(np.arange(xr.shape[0]), (len(xq), 1))
-        # exact distances of the few candidates (no cancellation), then order by (distance, id)
-        diff = xr[top] - xq[:, None, :]
+        # Screen: every candidate within rounding distance of the k-th screened
+        # distance is re-scored exactly, so ties and rounding never drop a true neighbour.
+        kk = min(k, xr.shape[0])
+        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+        # bound on the screen's rounding error: relative to d2 and to the squared norms
+        thr = kth + 1e-9 * (1.0 + np.abs(kth)) + 1e-12 * ((qc_ * qc_).sum(1) + (rc_ * rc_).sum(1).max())
+        rows_i, cols_j = np.nonzero((d2 <= thr[:, None]) & np.isfinite(d2))
+        if not len(rows_i):
+            return pd.DataFrame({"qid": [], "nid": [], "distance": []})
+        diff = xr[cols_j] - xq[rows_i]
         exact = np.sqrt((diff * diff).sum(-1))
-        exact[~np.isfinite(np.take_along_axis(d2, top, axis=1))] = np.inf
-        cand_ids = rids[top]
-        rank = np.lexsort((cand_ids, exact), axis=1)[:, :k]
-        ex_k = np.take_along_axis(exact, rank, axis=1)
-        id_k = np.take_along_axis(cand_ids, rank, axis=1)
-        ok = np.isfinite(ex_k)
-        q_k = np.repeat(qids[:, None], id_k.shape[1], axis=1)
-        return pd.DataFrame({"qid": q_k[ok].astype("int64"), "nid": id_k[ok].astype("int64"), "distance": ex_k[ok]})
+        cand = rids[cols_j]
+        order = np.lexsort((cand, exact, rows_i))
+        rows_o, exact_o, cand_o = rows_i[order], exact[order], cand[order]
+        starts = np.searchsorted(rows_o, rows_o, side="left")
+        pos = np.arange(len(rows_o)) - starts
+        keep = pos < k
+        return pd.DataFrame({"qid": qids[rows_o[keep]].astype("int64"), "nid": cand_o[keep].astype("int64"),
+                             "distance": exact_o[keep]})
 
     partial = (
         qside.groupBy("grp", "cell", "qb", "rb")
