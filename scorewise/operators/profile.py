@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewise.functions.scalar import round_even
-from scorewise.operators.ordinal import with_row_index
+from scorewise.operators.ordinal import running_totals
 from scorewise.session import cut_lineage
 
 
@@ -145,41 +145,41 @@ def gram_long(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (row_name, col_name, value)")
 
 
-def exact_quantiles(
-    df: DataFrame, value_col: str, group_cols: list[str], probs: list[float], tie_col: str | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value_col: str, group_cols: list[str], probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy default), per group.
 
-    Distributed: rows get their rank within the group through bucketed
-    running counts (no whole group in one task), then only the two rows
-    bracketing each quantile position are kept and interpolated.
+    Distributed and tie-safe: rows are first reduced to (group, value, count)
+    — a hot or heavily tied value collapses map-side — then each distinct value
+    gets the number of rows below it through bucketed running totals, and only
+    the values covering the two positions around each quantile are kept.
     """
-    base = df.filter(F.col(value_col).isNotNull()).select(
-        *group_cols, F.col(value_col).cast("double").alias("_v"),
-        *( [F.col(tie_col).alias("_t")] if tie_col else [] ),
+    counts = (
+        df.filter(F.col(value_col).isNotNull())
+        .groupBy(*group_cols, F.col(value_col).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    order = ["_v"] + (["_t"] if tie_col else [])
-    base = cut_lineage(base)  # narrow (group, value) projection, read several times below
-    ranked = with_row_index(base, order, "_r", group_cols)
-    sizes = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(counts)  # read by the ranking passes and the group sizes
+    ranked = running_totals(counts, ["_v"], {"_below": F.col("_c")}, group_cols, inclusive=False)
+    sizes = counts.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
     pos = sizes
     for k, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
-        pos = pos.withColumn(f"_lo{k}", F.floor(h).cast("long")).withColumn(
-            f"_fr{k}", h - F.floor(h)
-        )
+        pos = pos.withColumn(f"_lo{k}", F.floor(h).cast("long")).withColumn(f"_fr{k}", h - F.floor(h))
     joined = ranked.join(pos, on=group_cols, how="inner") if group_cols else ranked.crossJoin(F.broadcast(pos))
+
+    def covers(position):
+        return (F.col("_below") <= position) & (position < F.col("_below") + F.col("_c"))
+
     aggs = []
+    keep = F.lit(False)
     for k, _ in enumerate(probs):
-        lo = F.max(F.when(F.col("_r") == F.col(f"_lo{k}"), F.col("_v")))
-        hi = F.max(F.when(F.col("_r") == F.col(f"_lo{k}") + 1, F.col("_v")))
+        lo_pos, hi_pos = F.col(f"_lo{k}"), F.least(F.col(f"_lo{k}") + 1, F.col("_n") - 1)
+        lo = F.max(F.when(covers(lo_pos), F.col("_v")))
+        hi = F.max(F.when(covers(hi_pos), F.col("_v")))
         fr = F.max(F.col(f"_fr{k}"))
         aggs.append((lo + F.coalesce(fr * (hi - lo), F.lit(0.0))).alias(f"q{k}"))
-    keep = F.lit(False)
-    for k, _ in enumerate(probs):
-        keep = keep | (F.col("_r") == F.col(f"_lo{k}")) | (F.col("_r") == F.col(f"_lo{k}") + 1)
-    out = joined.filter(keep).groupBy(*group_cols).agg(*aggs, F.max("_n").alias("n"))
-    return out
+        keep = keep | covers(lo_pos) | covers(hi_pos)
+    return joined.filter(keep).groupBy(*group_cols).agg(*aggs, F.max("_n").alias("n"))
 
 
 def box_stats(df: DataFrame, value_col: str, group_cols: list[str], scale: int = 6) -> DataFrame:

@@ -54,3 +54,18 @@ def test_exact_quantiles_multi_bucket(spark):
     for r in q:
         sub = vals[np.arange(len(vals)) % 2 == r["g"]]
         assert np.allclose([r["q0"], r["q1"], r["q2"]], np.percentile(sub, [25, 50, 75]))
+
+
+def test_exact_quantiles_heavy_ties(spark):
+    # 0/1 flag column: every row ties with half the table
+    vals = [float(i % 2) for i in range(999)] + [5.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    from scorewise.operators import ordinal as o
+
+    old = o.DEFAULT_ROWS_PER_BUCKET
+    o.DEFAULT_ROWS_PER_BUCKET = 2
+    try:
+        r = profile.exact_quantiles(df, "x", [], [0.0, 0.25, 0.5, 0.999, 1.0]).first()
+    finally:
+        o.DEFAULT_ROWS_PER_BUCKET = old
+    assert np.allclose([r["q0"], r["q1"], r["q2"], r["q3"], r["q4"]], np.percentile(vals, [0, 25, 50, 99.9, 100]))
