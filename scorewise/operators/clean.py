@@ -151,7 +151,9 @@ def joined_applicants(
             for c in app_first.columns
         ]
     )
-    return filled.join(credit_first, on=key, how="inner")
+    joined = filled.join(credit_first, on=key, how="inner")
+    # merge() column order: left columns as they were, then the right side's non-key columns
+    return joined.select(*app_first.columns, *[c for c in credit_first.columns if c != key])
 
 
 def prepared(app: DataFrame, credit: DataFrame, duplicates: str = "keep_first") -> DataFrame:
