@@ -569,3 +569,46 @@ def association_rules(spark, sf):
 )
 def rules_sorted(spark, sf):
     return mine.sort_rules(_rules(spark, sf))
+
+
+# --------------------------------------------------------------------------- parity variants
+
+_ROC_HARD = _ROC.replace("SELECT score AS threshold", "SELECT prediction AS threshold").replace("GROUP BY score)", "GROUP BY prediction)")
+
+
+@query(
+    "roc_curve_hard",
+    _ROC_HARD
+    + """
+SELECT threshold, round_even(fp / N, 6) AS fpr, round_even(tp / P, 6) AS tpr FROM c, t
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""",
+)
+def roc_curve_hard(spark, sf):
+    """ROC points from hard 0/1 predictions (three points), as the reference draws them."""
+    return evaluate.roc_curve(_pred(spark, sf), score="prediction")
+
+
+@query(
+    "auc_hard",
+    _ROC_HARD + "\nSELECT round_even(sum(neg * (tp - pos + pos / 2)) / (max(P) * max(N)), 6) AS auc FROM c, t",
+)
+def auc_hard(spark, sf):
+    """AUC of hard predictions; equals (TPR + TNR) / 2."""
+    return evaluate.auc(_pred(spark, sf), score="prediction").select(round_even("auc", 6).alias("auc"))
+
+
+REFERENCE_SUPPORT = 0.2
+
+
+@query(
+    "frequent_itemsets_reference_support",
+    _itemsets_sql().replace(f">= {RULE_SUPPORT})", f">= {REFERENCE_SUPPORT})")
+    + "\nSELECT itemset, CAST(size AS INTEGER) AS size, freq, round_even(support, 6) AS support FROM f",
+)
+def frequent_itemsets_reference_support(spark, sf):
+    """Frequent itemsets at the reference's own minimum support (0.2)."""
+    fi = mine.frequent_itemsets(_baskets(spark, sf), REFERENCE_SUPPORT)
+    return fi.select(
+        F.array_join("items", "|").alias("itemset"), F.size("items").alias("size"), "freq",
+        round_even("support", 6).alias("support"),
+    )
