@@ -173,14 +173,8 @@ def gaussian_nb_grid(spark, sf):
     d = model_data(spark, sf)
     names = [f"f{i}" for i in range(len(d.feats))]
     tr = _unpacked(d.train, d.feats)
-    rows = []
-    for i, s in enumerate((1e-9, 1e-5, 1e-3)):
-        accs = []
-        for f in range(CV_FOLDS):
-            params = bayes.fit_params(tr.filter(F.col("fold") != f), "label", names, s)
-            pred = bayes.predict(tr.filter(F.col("fold") == f), params, names)
-            accs.append(pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
-        rows.append((i, f"var_smoothing={s}", float(sum(accs) / len(accs))))
+    scores = bayes.cv_grid(tr, "label", names, "fold", CV_FOLDS, [1e-9, 1e-5, 1e-3])
+    rows = [(i, f"var_smoothing={s}", float(acc)) for i, (s, acc) in enumerate(scores)]
     best = max(range(len(rows)), key=lambda i: rows[i][2])
     out = [(i, p, m, i == best) for i, p, m in rows]
     return spark.createDataFrame(out, "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN").select(

@@ -180,3 +180,23 @@ def test_csv_reader_file_order(spark, tmp_path):
     df = read_credit_csv(spark, str(p))
     rows = df.orderBy("ROW_NO").collect()
     assert [r["MONTHS_BALANCE"] for r in rows] == [-i for i in range(50)]
+
+
+def test_nb_cv_grid_matches_per_fold_fits(spark):
+    from scorewise.operators import bayes
+
+    rng = np.random.RandomState(4)
+    n = 300
+    y = (rng.uniform(size=n) < 0.4).astype(int)
+    x = rng.normal(size=(n, 3)) + y[:, None] * 0.7
+    rows = [(int(i), int(y[i]), int(i % 3), *map(float, x[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, label int, fold int, a double, b double, c double")
+    feats = ["a", "b", "c"]
+    grid = dict(bayes.cv_grid(df, "label", feats, "fold", 3, [1e-9, 1e-2]))
+    for s, acc in grid.items():
+        accs = []
+        for f in range(3):
+            p = bayes.fit_params(df.filter(F.col("fold") != f), "label", feats, s)
+            pred = bayes.predict(df.filter(F.col("fold") == f), p, feats)
+            accs.append(pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+        assert math.isclose(acc, sum(accs) / 3, rel_tol=1e-12)
