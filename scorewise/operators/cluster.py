@@ -152,7 +152,7 @@ def silhouette(
     )
     a = F.try_divide(F.col("a_sum"), (F.col("a_cnt") - 1).cast("double"))
     sil = F.when((F.col("a_cnt") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
-        (F.col("b") - a) / F.greatest(a, F.col("b"))
+        F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0))
     )
     names = F.array(*[F.lit(c) for c in label_cols])
     return per_row.groupBy("s").agg(F.avg(sil).alias("silhouette")).select(

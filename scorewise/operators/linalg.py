@@ -81,17 +81,46 @@ def _partition_moments(cols: list[str]):
     return run
 
 
+def _merge_partials(p: int):
+    """Merge (n, mean, scatter) rows of a batch into one (Chan et al.)."""
+
+    def run(batches):
+        import pandas as pd
+
+        n, mean, scatter = 0.0, np.zeros(p), np.zeros((p, p))
+        for pdf in batches:
+            for nb, mb, sb in zip(pdf["n"], pdf["mean"], pdf["scatter"]):
+                mb, sb = np.asarray(mb, dtype=float), np.asarray(sb, dtype=float).reshape(p, p)
+                delta = mb - mean
+                tot = n + nb
+                scatter = scatter + sb + np.outer(delta, delta) * (n * nb / tot)
+                mean = mean + delta * (nb / tot)
+                n = tot
+        if n:
+            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "scatter": [scatter.ravel().tolist()]})
+
+    return run
+
+
+MAX_PARTIALS = 64
+
+
 def moments(df: DataFrame, cols: list[str]) -> Moments:
     """Count, means and centred cross products of ``cols`` over complete rows.
 
     One pass: every partition reduces its rows to (n, mean, scatter) in numpy
-    (p + p² numbers), and the driver merges the per-partition summaries with
+    (p + p² numbers).  When there are many partitions the partials are merged
+    in Spark first (a tree step down to ``MAX_PARTIALS`` rows), so the driver
+    only ever receives a bounded number of p×p summaries, which it merges with
     the pairwise update of Chan et al. — stable, no second scan.
     """
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
     schema = "n double, mean array<double>, scatter array<double>"
-    parts = data.mapInPandas(_partition_moments(list(cols)), schema).collect()
     p = len(cols)
+    partials = data.mapInPandas(_partition_moments(list(cols)), schema)
+    if partials.rdd.getNumPartitions() > MAX_PARTIALS:
+        partials = partials.repartition(MAX_PARTIALS).mapInPandas(_merge_partials(p), schema)
+    parts = partials.collect()
     n, mean, scatter = 0.0, np.zeros(p), np.zeros((p, p))
     for r in parts:
         nb, mb, sb = float(r["n"]), np.array(r["mean"]), np.array(r["scatter"]).reshape(p, p)

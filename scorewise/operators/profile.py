@@ -115,9 +115,17 @@ def pairwise(df: DataFrame, cols: list[str], kind: str = "corr", scale: int = 1)
     Pairwise-complete: each pair ignores rows where either value is null.
     One aggregation pass for all p(p+1)/2 pairs.
     """
-    fn = F.corr if kind == "corr" else F.covar_samp
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    wide = df.agg(*[fn(cols[i], cols[j]).alias(f"_p{i}_{j}") for i, j in pairs])
+
+    def stat(a: str, b: str):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+        if kind != "corr":
+            return F.covar_samp(x, y)
+        # ANSI-safe: a constant column gives null (pandas: NaN) instead of DIVIDE_BY_ZERO
+        return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+    wide = df.agg(*[stat(cols[i], cols[j]).alias(f"_p{i}_{j}") for i, j in pairs])
     entries = []
     for i, j in pairs:
         entries.append(f"'{cols[i]}', '{cols[j]}', `_p{i}_{j}`")

@@ -200,3 +200,38 @@ def test_nb_cv_grid_matches_per_fold_fits(spark):
             pred = bayes.predict(df.filter(F.col("fold") == f), p, feats)
             accs.append(pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
         assert math.isclose(acc, sum(accs) / 3, rel_tol=1e-12)
+
+
+def test_moments_tree_merge(spark):
+    from scorewise.operators import linalg as la
+
+    rng = np.random.RandomState(9)
+    x = rng.normal(size=(2000, 3)) * [1.0, 10.0, 0.1] + [5.0, -3.0, 100.0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(150)
+    old = la.MAX_PARTIALS
+    la.MAX_PARTIALS = 8
+    try:
+        m = la.moments(df, ["a", "b", "c"])
+    finally:
+        la.MAX_PARTIALS = old
+    assert m.n == 2000
+    assert np.allclose(m.mean, x.mean(0))
+    xc = x - x.mean(0)
+    assert np.allclose(m.csum, xc.T @ xc)
+
+
+def test_vif_edge_tables(spark):
+    from scorewise.operators import linalg as la
+
+    rows = [(float(i), 2.0 * i, float(i % 7), 3.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "x1 double, x2 double, x3 double, k double")
+    assert "const" not in la.add_constant(df, ["x1", "k"]).columns  # a constant column already exists
+    assert "const" in la.add_constant(df, ["x1", "x3"]).columns
+    m = la.moments(df, ["x1", "x2", "x3"])
+    v = dict(la.vif(m, [la.CONST, "x1", "x2", "x3"]))
+    assert v["x1"] > 1e6 and v["x2"] > 1e6  # x2 = 2·x1: (numerically) infinite
+    assert v["x3"] < 10
+    from scorewise.operators import profile
+
+    c = {(r["col_a"], r["col_b"]): r["corr"] for r in profile.pairwise(df, ["x1", "k"], "corr", 3).collect()}
+    assert c[("x1", "k")] is None or math.isnan(c[("x1", "k")])
