@@ -33,19 +33,36 @@ def kmeans_predict(model, df: DataFrame, vec_col: str = "v") -> DataFrame:
     return out.drop("_features")
 
 
-def elbow(df: DataFrame, ks: list[int], vec_col: str = "v", seed: int = 1) -> list[tuple[int, float]]:
+def wss_on_dims(assigned: DataFrame, dims: list[int], vec_col: str = "v", cluster_col: str = "cluster") -> float:
+    """Within-cluster sum of squares of an assignment, restricted to vector positions ``dims``."""
+    ex = assigned.select(cluster_col, F.posexplode(vec_col).alias("pos", "x")).filter(F.col("pos").isin(*dims))
+    per = ex.groupBy(cluster_col, "pos").agg((F.var_pop("x") * F.count("x")).alias("s"))
+    return float(per.agg(F.sum("s")).first()[0] or 0.0)
+
+
+def elbow(df: DataFrame, ks: list[int], vec_col: str = "v", seed: int = 1,
+          dims: list[int] | None = None) -> list[tuple[int, float]]:
     """(k, within-cluster sum of squares) for every k — one fit per k on cached input.
 
-    k = 1 has the closed form Σ n·var_pop (Spark's k-means needs k >= 2)."""
-    data = df.select(array_to_vector(F.col(vec_col)).alias("_features")).persist()
+    k = 1 has the closed form Σ n·var_pop (Spark's k-means needs k >= 2).
+    ``dims`` restricts the sum to some vector positions (the reference sums only
+    the first two columns); by default all dimensions count.
+    """
+    data = df.select(F.col(vec_col).alias("_v"), array_to_vector(F.col(vec_col)).alias("_features")).persist()
     try:
         out = []
         for k in ks:
-            if k == 1:
+            if k == 1 and dims is None:
                 out.append((1, float(wss_single_cluster(df, vec_col).first()["wss"])))
                 continue
-            m = KMeans(k=k, seed=seed, featuresCol="_features").fit(data)
-            out.append((k, float(m.summary.trainingCost)))
+            if k == 1:
+                out.append((1, wss_on_dims(data.withColumn("cluster", F.lit(0)), dims, "_v")))
+                continue
+            m = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(data)
+            if dims is None:
+                out.append((k, float(m.summary.trainingCost)))
+            else:
+                out.append((k, wss_on_dims(m.transform(data), dims, "_v")))
         return out
     finally:
         data.unpersist()

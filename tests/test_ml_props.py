@@ -235,3 +235,13 @@ def test_vif_edge_tables(spark):
 
     c = {(r["col_a"], r["col_b"]): r["corr"] for r in profile.pairwise(df, ["x1", "k"], "corr", 3).collect()}
     assert c[("x1", "k")] is None or math.isnan(c[("x1", "k")])
+
+
+def test_elbow_dims(spark):
+    df, x, _ = _points(spark, n=150, dup_frac=0.0)
+    full = dict(cluster.elbow(df, [1, 2], seed=3))
+    two = dict(cluster.elbow(df, [1, 2], seed=3, dims=[0, 1]))
+    xc = x - x.mean(0)
+    assert math.isclose(full[1], float((xc * xc).sum()), rel_tol=1e-9)
+    assert math.isclose(two[1], float((xc[:, :2] * xc[:, :2]).sum()), rel_tol=1e-9)
+    assert two[2] < full[2]
