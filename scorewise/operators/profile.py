@@ -153,20 +153,18 @@ def gram_long(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (row_name, col_name, value)")
 
 
-def exact_quantiles(df: DataFrame, value_col: str, group_cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation (numpy default), per group.
-
-    Distributed and tie-safe: rows are first reduced to (group, value, count)
-    — a hot or heavily tied value collapses map-side — then each distinct value
-    gets the number of rows below it through bucketed running totals, and only
-    the values covering the two positions around each quantile are kept.
-    """
+def value_counts_table(df: DataFrame, value_col: str, group_cols: list[str]) -> DataFrame:
+    """(group, value, count) of the non-null values, checkpointed (read several times)."""
     counts = (
         df.filter(F.col(value_col).isNotNull())
         .groupBy(*group_cols, F.col(value_col).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    counts = cut_lineage(counts)  # read by the ranking passes and the group sizes
+    return cut_lineage(counts)
+
+
+def quantiles_from_counts(counts: DataFrame, group_cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles from a (group, _v, _c) table."""
     ranked = running_totals(counts, ["_v"], {"_below": F.col("_c")}, group_cols, inclusive=False)
     sizes = counts.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
     pos = sizes
@@ -190,16 +188,31 @@ def exact_quantiles(df: DataFrame, value_col: str, group_cols: list[str], probs:
     return joined.filter(keep).groupBy(*group_cols).agg(*aggs, F.max("_n").alias("n"))
 
 
+def exact_quantiles(df: DataFrame, value_col: str, group_cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (numpy default), per group.
+
+    Distributed and tie-safe: rows are first reduced to (group, value, count)
+    — a hot or heavily tied value collapses map-side — then each distinct value
+    gets the number of rows below it through bucketed running totals, and only
+    the values covering the two positions around each quantile are kept.
+    """
+    return quantiles_from_counts(value_counts_table(df, value_col, group_cols), group_cols, probs)
+
+
 def box_stats(df: DataFrame, value_col: str, group_cols: list[str], scale: int = 6) -> DataFrame:
-    """Five-number summary per group: Q1, median, Q3, whiskers within 1.5·IQR, outliers."""
-    q = exact_quantiles(df, value_col, group_cols, [0.25, 0.5, 0.75]).select(
+    """Five-number summary per group: Q1, median, Q3, whiskers within 1.5·IQR, outliers.
+
+    The input is read once: quantiles, whiskers and outlier counts all come
+    from the checkpointed (group, value, count) table.
+    """
+    counts = value_counts_table(df, value_col, group_cols)
+    q = quantiles_from_counts(counts, group_cols, [0.25, 0.5, 0.75]).select(
         *group_cols, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
     q = q.withColumn("_lof", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
         "_hif", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     )
-    vals = df.filter(F.col(value_col).isNotNull()).select(*group_cols, F.col(value_col).cast("double").alias("_v"))
-    j = vals.join(q, on=group_cols, how="inner") if group_cols else vals.crossJoin(F.broadcast(q))
+    j = counts.join(q, on=group_cols, how="inner") if group_cols else counts.crossJoin(F.broadcast(q))
     inside = (F.col("_v") >= F.col("_lof")) & (F.col("_v") <= F.col("_hif"))
     agg = j.groupBy(*group_cols).agg(
         F.max("n").alias("n"),
@@ -208,7 +221,7 @@ def box_stats(df: DataFrame, value_col: str, group_cols: list[str], scale: int =
         F.max("q3").alias("q3"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.sum(F.when(~inside, F.col("_c")).otherwise(F.lit(0))).alias("n_outliers"),
     )
     return agg.select(
         *group_cols,
@@ -232,16 +245,20 @@ def box_stats_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def iqr_filter(df: DataFrame, col: str) -> DataFrame:
-    """Keep rows strictly inside the 1.5·IQR fences of ``col``; unchanged if none survive."""
-    q = exact_quantiles(df, col, [], [0.25, 0.75]).select(
+    """Keep rows strictly inside the 1.5·IQR fences of ``col``; unchanged if none survive.
+
+    Fences and the survivor count come from the (value, count) table; the input
+    itself is read once more only to emit the kept rows.
+    """
+    counts = value_counts_table(df, col, [])
+    q = quantiles_from_counts(counts, [], [0.25, 0.75]).select(
         (F.col("q0") - 1.5 * (F.col("q1") - F.col("q0"))).alias("_lof"),
         (F.col("q1") + 1.5 * (F.col("q1") - F.col("q0"))).alias("_hif"),
     )
-    j = df.crossJoin(F.broadcast(q))
-    inside = (F.col(col) > F.col("_lof")) & (F.col(col) < F.col("_hif"))
-    survivors = j.agg(F.count_if(inside).alias("_k"))
-    return (
-        j.crossJoin(F.broadcast(survivors))
-        .filter(inside | (F.col("_k") == 0))
-        .drop("_lof", "_hif", "_k")
+    fences = q.crossJoin(
+        counts.crossJoin(F.broadcast(q))
+        .agg(F.sum(F.when((F.col("_v") > F.col("_lof")) & (F.col("_v") < F.col("_hif")), F.col("_c")).otherwise(0)).alias("_k"))
     )
+    j = df.crossJoin(F.broadcast(fences))  # one row
+    inside = (F.col(col) > F.col("_lof")) & (F.col(col) < F.col("_hif"))
+    return j.filter(inside | (F.col("_k") == 0)).drop("_lof", "_hif", "_k")
