@@ -7,6 +7,7 @@ result schema does not depend on the number of columns.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,30 +110,107 @@ def mean_std(df: DataFrame, cols: list[str], scale: int = 6) -> DataFrame:
     )
 
 
-def pairwise(df: DataFrame, cols: list[str], kind: str = "corr", scale: int = 1) -> DataFrame:
-    """Pearson correlation (``corr``) or sample covariance (``cov``) matrix, long form.
+def _pair_merge(a, b):
+    """Chan et al. merge of pairwise-complete statistics (all p×p arrays).
 
-    Pairwise-complete: each pair ignores rows where either value is null.
-    One aggregation pass for all p(p+1)/2 pairs.
+    mean[i, j] / m2[i, j] are the mean / centred sum of squares of column i over
+    the rows where both i and j are present; cxy[i, j] is their co-moment.
     """
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    na, ma, qa, ca = a
+    nb, mb, qb, cb = b
+    n = na + nb
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.where(n > 0, na * nb / n, 0.0)
+        frac = np.where(n > 0, nb / n, 0.0)
+    d = mb - ma
+    mean = ma + d * frac
+    m2 = qa + qb + d * d * w
+    cxy = ca + cb + d * d.T * w
+    return n, mean, m2, cxy
+
+
+def _pair_partials(cols: list[str]):
+    p = len(cols)
+
+    def run(batches):
+        import pandas as pd
+
+        acc = None
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float)
+            if not len(x):
+                continue
+            mask = ~np.isnan(x)
+            m = mask.astype(float)
+            n = m.T @ m
+            with np.errstate(invalid="ignore", divide="ignore"):
+                shift = np.where(mask.any(0), np.nanmean(x, axis=0), 0.0)
+            xc = np.where(mask, x - shift, 0.0)
+            s = xc.T @ m  # s[i, j]: sum of (x_i - shift_i) over rows with i and j present
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean_c = np.where(n > 0, s / n, 0.0)
+            q = (xc * xc).T @ m - n * mean_c * mean_c
+            c = xc.T @ xc - n * mean_c * mean_c.T
+            part = (n, mean_c + shift[:, None], q, c)
+            acc = part if acc is None else _pair_merge(acc, part)
+        if acc is not None:
+            yield pd.DataFrame({k: [v.ravel().tolist()] for k, v in zip(("n", "mean", "m2", "cxy"), acc)})
+
+    return run
+
+
+def _pair_merge_rows(p: int):
+    def run(batches):
+        import pandas as pd
+
+        acc = None
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                part = tuple(np.asarray(getattr(r, k), dtype=float).reshape(p, p) for k in ("n", "mean", "m2", "cxy"))
+                acc = part if acc is None else _pair_merge(acc, part)
+        if acc is not None:
+            yield pd.DataFrame({k: [v.ravel().tolist()] for k, v in zip(("n", "mean", "m2", "cxy"), acc)})
+
+    return run
+
+
+MAX_PAIR_PARTIALS = 64
 
-    def stat(a: str, b: str):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        if kind != "corr":
-            return F.covar_samp(x, y)
-        # ANSI-safe: a constant column gives null (pandas: NaN) instead of DIVIDE_BY_ZERO
-        return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
-    wide = df.agg(*[stat(cols[i], cols[j]).alias(f"_p{i}_{j}") for i, j in pairs])
-    entries = []
-    for i, j in pairs:
-        entries.append(f"'{cols[i]}', '{cols[j]}', `_p{i}_{j}`")
-        if i != j:
-            entries.append(f"'{cols[j]}', '{cols[i]}', `_p{i}_{j}`")
-    out = wide.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (col_a, col_b, value)")
-    return out.select("col_a", "col_b", round_even("value", scale).alias(kind))
+def pairwise(df: DataFrame, cols: list[str], kind: str = "corr", scale: int = 1) -> DataFrame:
+    """Pearson correlation (``corr``) or sample covariance (``cov``) matrix, long form.
+
+    Pairwise-complete (each pair ignores rows where either value is null), as
+    ``DataFrame.corr`` / ``cov``.  One pass: each partition reduces its rows to
+    p×p pairwise counts, means, sums of squares and co-moments in numpy; the
+    partials are tree-merged (Chan et al.) so the driver receives a bounded
+    number of p×p summaries.  A constant column gives null, not an error.
+    """
+    p = len(cols)
+    schema = "n array<double>, mean array<double>, m2 array<double>, cxy array<double>"
+    data = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    partials = data.mapInPandas(_pair_partials(list(cols)), schema)
+    if partials.rdd.getNumPartitions() > MAX_PAIR_PARTIALS:
+        partials = partials.repartition(MAX_PAIR_PARTIALS).mapInPandas(_pair_merge_rows(p), schema)
+    acc = None
+    for r in partials.collect():
+        part = tuple(np.asarray(r[k], dtype=float).reshape(p, p) for k in ("n", "mean", "m2", "cxy"))
+        acc = part if acc is None else _pair_merge(acc, part)
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if acc is None:
+                val = None
+            else:
+                n, _, m2, cxy = acc
+                if kind == "corr":
+                    den = m2[i, j] * m2[j, i]
+                    val = float(cxy[i, j] / np.sqrt(den)) if n[i, j] > 1 and den > 0 else None
+                else:
+                    val = float(cxy[i, j] / (n[i, j] - 1)) if n[i, j] > 1 else None
+            rows.append((a, b, val))
+    out = df.sparkSession.createDataFrame(rows, f"col_a string, col_b string, {kind} double")  # p² rows
+    return out.select("col_a", "col_b", round_even(kind, scale).alias(kind))
 
 
 def gram_long(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,23 @@ def test_elbow_dims(spark):
     assert math.isclose(full[1], float((xc * xc).sum()), rel_tol=1e-9)
     assert math.isclose(two[1], float((xc[:, :2] * xc[:, :2]).sum()), rel_tol=1e-9)
     assert two[2] < full[2]
+
+
+def test_pairwise_complete_corr_cov(spark):
+    from scorewise.operators import profile
+
+    rng = np.random.RandomState(11)
+    n = 400
+    a = rng.normal(size=n) * 1e3 + 1e6
+    b = a * 0.5 + rng.normal(size=n)
+    c = rng.normal(size=n)
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c})
+    pdf.loc[rng.uniform(size=n) < 0.2, "b"] = np.nan
+    pdf.loc[rng.uniform(size=n) < 0.1, "c"] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in pdf.to_numpy()]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(9)
+    for kind, ref in (("corr", pdf.corr()), ("cov", pdf.cov())):
+        got = {(r["col_a"], r["col_b"]): r[kind] for r in profile.pairwise(df, ["a", "b", "c"], kind, 9).collect()}
+        for x in "abc":
+            for y in "abc":
+                assert math.isclose(got[(x, y)], ref.loc[x, y], rel_tol=1e-7, abs_tol=1e-9), (kind, x, y)
