@@ -64,8 +64,11 @@ def ship_package(spark: SparkSession) -> None:
 
     Workers unpickle the functions used by ``mapInPandas`` / ``applyInPandas``
     by module reference, so the package must be on their path on every node.
-    The zip is built once per SparkContext and distributed by Spark itself.
+    The zip is built in memory once per application, written through the
+    Hadoop FileSystem API into the shared checkpoint folder, and distributed
+    by Spark from there.
     """
+    import io
     import os
     import zipfile
 
@@ -75,9 +78,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    out_dir = tempfile.mkdtemp(prefix="scorewise-pyfiles-")
-    path = os.path.join(out_dir, "scorewise.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for base, _dirs, files in os.walk(pkg):
             if "__pycache__" in base:
                 continue
@@ -85,5 +87,14 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    target = checkpoint_dir(spark).rstrip("/") + f"/pyfiles/{key}/scorewise.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(str(fs.makeQualified(path).toString()))
     _SHIPPED.add(key)
