@@ -266,3 +266,20 @@ def test_pairwise_complete_corr_cov(spark):
         for x in "abc":
             for y in "abc":
                 assert math.isclose(got[(x, y)], ref.loc[x, y], rel_tol=1e-7, abs_tol=1e-9), (kind, x, y)
+
+
+def test_csv_file_order_across_files(spark, tmp_path):
+    from scorewise.sources.tables import read_credit_csv
+
+    d = tmp_path / "credit"
+    d.mkdir()
+    k = 0
+    for f in range(3):
+        lines = ["ID,MONTHS_BALANCE,STATUS"]
+        for _ in range(40):
+            lines.append(f"{k % 5},{-k},C")
+            k += 1
+        (d / f"part-{f:02d}.csv").write_text("\n".join(lines) + "\n")
+    rows = read_credit_csv(spark, str(d)).orderBy("ROW_NO").collect()
+    assert [r["ROW_NO"] for r in rows] == list(range(120))
+    assert [r["MONTHS_BALANCE"] for r in rows] == [-i for i in range(120)]
