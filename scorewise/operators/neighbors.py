@@ -132,6 +132,8 @@ def knn_join(
                 )
 
     qc = q.mapInPandas(candidates, "qid long, qv array<double>, grp long, cell int")
+    if materialize:
+        qc = cut_lineage(qc)  # read by the block sizing and by the block join
     qcounts = {(s["grp"], s["cell"]): s["n"] for s in qc.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = []
     for (g, c), nq in qcounts.items():
