@@ -26,6 +26,8 @@ def positive_score(pred: DataFrame, prob_col: str = "probability", name: str = "
     """Probability of class 1 as a double column (falls back to the hard prediction)."""
     if prob_col in pred.columns:
         return pred.withColumn(name, vector_to_array(F.col(prob_col))[1])
+    if name in pred.columns:  # the caller already supplied a score (votes, averaged bags)
+        return pred
     return pred.withColumn(name, F.col("prediction").cast("double"))
 
 

@@ -341,10 +341,26 @@ def svm_grid(spark, sf):
     ).select("point", "params", round_even("mean_accuracy", 6).alias("mean_accuracy"), "is_best")
 
 
+@query("knn_model")
+def knn_model(spark, sf):
+    """KNN (k = 3, the reference's final choice) on the applicant features; score = share of class-1 votes."""
+    from scorewise.operators import neighbors
+
+    d = model_data(spark, sf)
+    k = 3
+    nn = neighbors.knn_join(d.test.select("id", "v"), d.train.select(F.col("key").alias("id"), "v"), k)
+    labels = d.train.select(F.col("key").alias("nid"), F.col("label").alias("_nl"))
+    votes = nn.join(labels, "nid").groupBy("qid").agg(F.avg("_nl").alias("score"))
+    pred = votes.join(d.test.select(F.col("id").alias("qid"), "label"), "qid").withColumn(
+        "prediction", (F.col("score") > 0.5).cast("double")
+    )
+    return classify.metrics_row(pred, "knn")
+
+
 @query("model_leaderboard")
 def model_leaderboard(spark, sf):
     """E8 over fitted models: one metrics row per classifier on the same test split."""
-    parts = [dt_basic, logreg, linear_svm, gaussian_nb, random_forest, mlp]
+    parts = [dt_basic, logreg, knn_model, linear_svm, gaussian_nb, random_forest, mlp]
     out = None
     for fn in parts:
         row = fn(spark, sf)
