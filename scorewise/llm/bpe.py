@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewise.llm.common import list_column, mix64, offsets_of, pieces, ragged, utf8
+from scorewise.llm.common import list_column, list_pieces, mix64, offsets_of, pieces, ragged, utf8
 from scorewise.llm.pretoken import piece_bounds
 
 #: Pieces kept by each worker's cache, and the longest piece (bytes) merged side by side.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 SIDE_BY_SIDE = 48
 NONE = np.int64(2**40)
 
@@ -188,33 +188,20 @@ def batch_ids(column: pa.Array, cache: PieceCache) -> tuple[np.ndarray, np.ndarr
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(n, base, np.uint64))
-        down = np.cumprod(np.full(n, pow(base, -1, 2**64), np.uint64))
-    return up, down
-
-
-@functools.cache
-def _byte_values() -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def _weights() -> tuple[np.ndarray, np.ndarray]:
+    """A random value for each byte, and a random odd weight for each place in a piece."""
+    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    places = mix64(np.arange(1, SIDE_BY_SIDE + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return values, places | np.uint64(1)
 
 
 def slice_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every slice between two bounds: differences of one running sum.
-
-    The sum weighs each byte's random value by a power of an odd number; a
-    slice's difference is brought back to power 0 and mixed with its length.
-    Slices too long for that kind of sum to be safe get a hash of their bytes.
-    """
-    n = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(n)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
+    """A 64-bit hash of every slice between two bounds; long slices' hashes come from a digest."""
+    values, weights = _weights()
     size = np.diff(bounds)
-    out = (sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]]
-    out = mix64(out ^ (size.astype(np.uint64) << np.uint64(56)))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(bounds[:-1].astype(np.int32), size)
+    weighed = values[data] * weights[np.minimum(place, SIDE_BY_SIDE)]
+    out = mix64(np.add.reduceat(weighed, bounds[:-1]) + size.astype(np.uint64))
     for i in np.flatnonzero(size > SIDE_BY_SIDE).tolist():
         digest = hashlib.blake2b(data[bounds[i] : bounds[i + 1]].tobytes(), digest_size=8).digest()
         out[i] = int.from_bytes(digest, "little")
@@ -259,9 +246,7 @@ def decode(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", span: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ranks(rank_file)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (part for whole in batches for part in list_pieces(whole, "ids")):
             column = batch.column("ids")
             ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -281,7 +266,7 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in list_pieces(whole, "ids")):
             column = batch.column("ids")
             ids = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

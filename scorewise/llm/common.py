@@ -101,7 +101,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes of ``column``, one row at least."""
     if batch.num_rows == 0:
         return
@@ -114,6 +114,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterat
         lo = hi
 
 
+def list_pieces(batch: pa.RecordBatch, column: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about ``limit`` elements of a list column, one row at least."""
+    sizes = batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets, lo = offsets_of(sizes), 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
+        hi = min(max(hi, lo + 1), batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices starts[i] .. starts[i]+lengths[i]-1 of all i, one after another."""
     total = int(lengths.sum())
