@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewise.llm.bpe import op2_byte_bpe
+from scorewise.llm.chat import OP9_SQL, op9_chat_format
+from scorewise.llm.idcodec import op3_token_files
+from scorewise.llm.shards import op5_uniform_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_token_files": op3_token_files,
+        "op5_uniform_shards": op5_uniform_shards,
+        "op9_chat_format": op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_chat_format": OP9_SQL,
+    }
