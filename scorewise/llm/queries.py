@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scorewise.llm.bpe import op2_byte_bpe
 from scorewise.llm.chat import OP9_SQL, op9_chat_format
 from scorewise.llm.idcodec import op3_token_files
+from scorewise.llm.minhash import op8_minhash_groups
 from scorewise.llm.shards import op5_uniform_shards
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_files": op3_token_files,
         "op5_uniform_shards": op5_uniform_shards,
+        "op8_minhash_groups": op8_minhash_groups,
         "op9_chat_format": op9_chat_format,
     }
 
