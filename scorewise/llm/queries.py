@@ -10,6 +10,7 @@ from scorewise.llm.bpe import op2_byte_bpe
 from scorewise.llm.chat import OP9_SQL, op9_chat_format
 from scorewise.llm.idcodec import op3_token_files
 from scorewise.llm.minhash import op8_minhash_groups
+from scorewise.llm.quality import op4_quality
 from scorewise.llm.shards import op5_uniform_shards
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_files": op3_token_files,
+        "op4_quality": op4_quality,
         "op5_uniform_shards": op5_uniform_shards,
         "op8_minhash_groups": op8_minhash_groups,
         "op9_chat_format": op9_chat_format,
