@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorewise.llm.bpe import op2_byte_bpe
 from scorewise.llm.chat import OP9_SQL, op9_chat_format
+from scorewise.llm.decontam import op6_string_tiling
 from scorewise.llm.idcodec import op3_token_files
 from scorewise.llm.minhash import op8_minhash_groups
 from scorewise.llm.quality import op4_quality
 from scorewise.llm.shards import op5_uniform_shards
+from scorewise.llm.warc import op7_warc_derivatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": op3_token_files,
         "op4_quality": op4_quality,
         "op5_uniform_shards": op5_uniform_shards,
+        "op6_string_tiling": op6_string_tiling,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op8_minhash_groups": op8_minhash_groups,
         "op9_chat_format": op9_chat_format,
     }
