@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scorewise.llm.bpe import op2_byte_bpe
 from scorewise.llm.chat import OP9_SQL, op9_chat_format
 from scorewise.llm.decontam import op6_string_tiling
+from scorewise.llm.embed_dups import op10_cross_polytope
 from scorewise.llm.idcodec import op3_token_files
 from scorewise.llm.minhash import op8_minhash_groups
 from scorewise.llm.quality import op4_quality
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_string_tiling": op6_string_tiling,
         "op7_warc_derivatives": op7_warc_derivatives,
         "op8_minhash_groups": op8_minhash_groups,
+        "op10_cross_polytope": op10_cross_polytope,
         "op9_chat_format": op9_chat_format,
     }
 
