@@ -14,11 +14,13 @@ from scorewise.llm.idcodec import op3_token_files
 from scorewise.llm.minhash import op8_minhash_groups
 from scorewise.llm.quality import op4_quality
 from scorewise.llm.shards import op5_uniform_shards
+from scorewise.llm.suffix_dups import op1_suffix_repeats
 from scorewise.llm.warc import op7_warc_derivatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_repeats": op1_suffix_repeats,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_token_files": op3_token_files,
         "op4_quality": op4_quality,
