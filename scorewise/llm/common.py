@@ -65,24 +65,39 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` as (uid, id, text): one uid per document, in order of the ids.
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called that."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def add_uid(docs: DataFrame, uid: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` and ``uid``: one number per document, in order of the ids.
 
     With unique ids the uid is the id.  Rows that share an id, or have none,
     are told apart by their text: (id, text) pairs are ranked, null ids first,
     and equal pairs are one document.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    odd = base.select("id").groupBy("id").count().filter("id is null or count > 1")
+    odd = docs.groupBy(F.col(id_col).alias("id")).count().filter("id is null or count > 1")
     if odd.isEmpty():
-        return base.select(F.col("id").cast("long").alias("uid"), "id", "text")
-    keyed = base.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    pairs = keyed.select("id", "mark").distinct().orderBy(F.col("id").asc_nulls_first(), "mark")
+        return docs.withColumn(uid, F.col(id_col).cast("long"))
+    mark, rid, rmark = (free_name(n, docs.columns) for n in ("_mark", "_rid", "_rmark"))
+    text = F.col(text_col)
+    keyed = docs.withColumn(mark, F.concat(F.when(text.isNull(), "0").otherwise("1"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
+    pairs = keyed.select(F.col(id_col).alias("id"), F.col(mark).alias("mark")).distinct().orderBy(F.col("id").asc_nulls_first(), "mark")
     ranked = pairs.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-    ids = docs.sparkSession.createDataFrame(ranked, "uid long, rid long, rmark string")
-    ids = ids.checkpoint(eager=True) if checkpoint_dir(docs.sparkSession) else ids
-    hit = keyed["id"].eqNullSafe(ids["rid"]) & (keyed["mark"] == ids["rmark"])
-    return keyed.join(ids, hit).select("uid", "id", "text")
+    kind = dict(docs.dtypes)[id_col]
+    ids = staged(docs.sparkSession.createDataFrame(ranked, f"{uid} long, {rid} {kind}, {rmark} string"), "uids")
+    hit = keyed[id_col].eqNullSafe(ids[rid]) & (keyed[mark] == ids[rmark])
+    return keyed.join(ids, hit).select(*docs.columns, uid)
+
+
+def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` as (uid, id, text); see ``add_uid``."""
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return add_uid(base, "uid", "id", "text").select("uid", "id", "text")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewise.llm.common import mix64, offsets_of, pieces, ragged, staged, table, utf8, with_uid
+from scorewise.llm.common import add_uid, free_name, mix64, offsets_of, pieces, ragged, staged, table, utf8, with_uid
 from scorewise.llm.minhash import _groups
 
 LENGTH = 100
@@ -303,6 +303,34 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"uid long, id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its texts cut: code points whose bytes are all repeats go, n_chars follows."""
+    uid, gone = free_name("_uid", docs.columns), free_name("_spans", docs.columns)
+    names = docs.columns
+    spans = repeats(with_uid(docs, id_col, text_col)).withColumnsRenamed({"uid": uid, "spans": gone})
+    rows = add_uid(docs, uid, id_col, text_col).join(spans, uid, "left").select(*docs.columns, gone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in pieces(whole, text_col):
+                two = pa.RecordBatch.from_arrays([part.column(text_col), part.column(gone)], ["text", "spans"])
+                data, bounds, cover = _covered(two)
+                lead = np.flatnonzero((data & 0xC0) != 0x80)
+                if len(lead):
+                    whole_points = np.logical_and.reduceat(cover, lead)
+                    cover = np.repeat(whole_points, np.diff(np.append(lead, len(data))))
+                lost = offsets_of(cover.astype(np.int64))
+                rest, cuts = data[~cover].tobytes(), (bounds - lost[bounds]).tolist()
+                texts = pa.array([rest[a:b].decode() for a, b in zip(cuts, cuts[1:])], pa.string(), mask=part.column(text_col).is_null().to_numpy(zero_copy_only=False))
+                columns = [texts if c == text_col else part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = rows.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns and "text" == text_col:
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return out
+
+
 def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to strings of 100 bytes that also start earlier."""
     docs = with_uid(table(spark, sf_dir, "documents"))
