@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from scorewise.llm.common import list_column, list_pieces, offsets_of, pieces, r
 MAX_BITS = 18
 STEP = 256
 BLOCK_IDS = 1 << 16
+#: Pieces kept by each worker: the library is slower than a larger cache.
+CACHE_PIECES = 400_000
 
 
 @functools.cache
@@ -47,9 +50,9 @@ def _library_cache(path: str) -> PieceCache:
 
     def encode(words: list[bytes]) -> list[bytes]:
         found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<i4").tobytes() for x in found]
+        return [array("i", x.ids).tobytes() for x in found]
 
-    return PieceCache(encode)
+    return PieceCache(encode, CACHE_PIECES)
 
 
 def _with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
