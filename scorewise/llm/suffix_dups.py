@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewise.llm.common import add_uid, free_name, mix64, offsets_of, pieces, ragged, staged, table, utf8, with_uid
@@ -100,8 +100,18 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (packed >> 14) - offset, offset, packed & 127
 
 
+def _run(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """An interval as one negative number, so that it can stand among packed samples."""
+    return -1 - (start << 28 | length)
+
+
 def sampled(docs: DataFrame) -> DataFrame:
-    """(name, uid, packed): all samples of all texts."""
+    """(name, uid, packed): the samples of all texts.
+
+    Where a text repeats itself at once, successive samples have equal contexts:
+    the first of them stays, the others are repeats already and come as one
+    interval (packed is negative).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -109,8 +119,22 @@ def sampled(docs: DataFrame) -> DataFrame:
                 data, rows = utf8(part.column("text"))
                 name, place, offset, strings = samples(data, rows)
                 row = np.searchsorted(rows, place, side="right") - 1
-                uid = part.column("uid").to_numpy()[row] if len(row) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(uid), pa.array(_pack(place - rows[row], offset, strings))], ["name", "uid", "packed"])
+                begin, size = place - offset, strings + (LENGTH - 1)
+                alike = (name[1:] == name[:-1]) & (offset[1:] == offset[:-1]) & (strings[1:] == strings[:-1]) & (row[1:] == row[:-1])
+                raw, gone = data.tobytes(), np.zeros(len(name) + 1, bool)
+                for i in np.flatnonzero(alike).tolist():
+                    x, y, n = int(begin[i]), int(begin[i + 1]), int(size[i])
+                    gone[i + 1] = raw[x : x + n] == raw[y : y + n]
+                first = np.flatnonzero(gone[1:] & ~gone[:-1]) + 1
+                last = np.flatnonzero(gone[:-1] & ~gone[1:])
+                local = begin - rows[row] if len(row) else begin
+                runs = _run(local[first], begin[last] + size[last] - begin[first])
+                kept = ~gone[: len(name)]
+                number = part.column("uid").to_numpy()
+                uid = number[row] if len(row) else np.zeros(0, np.int64)
+                names = np.concatenate([name[kept], mix64(uid[first].astype(np.uint64))]).view(np.int64)
+                packed = np.concatenate([_pack(local[kept] + offset[kept], offset[kept], strings[kept]), runs])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([uid[kept], uid[first]])), pa.array(packed)], ["name", "uid", "packed"])
 
     return docs.select("uid", "text").mapInArrow(run, "name long, uid long, packed long")
 
@@ -184,6 +208,12 @@ def _intervals(uid: np.ndarray, strings: Strings, marked: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(uid[strings.row[hit[head]]]), pa.array(start), pa.array(stop)], ["uid", "at", "to"])
 
 
+def _whole(uid: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+    """The intervals of samples all of whose strings are repeats."""
+    first, _, strings = _unpack(packed)
+    return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(first), pa.array(first + strings + (LENGTH - 1))], ["uid", "at", "to"])
+
+
 def _compared(rows: DataFrame) -> DataFrame:
     """Repeats among the contexts of each name; the rows of a name meet in one task."""
 
@@ -191,35 +221,47 @@ def _compared(rows: DataFrame) -> DataFrame:
         for whole in _groups(batches, "name"):
             names = whole.column("name").to_numpy()
             cuts = np.append(np.flatnonzero(np.append(True, names[1:] != names[:-1])), len(names))
-            several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
-            part_rows = whole.filter(pa.array(several))
-            names = part_rows.column("name").to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, names[1:] != names[:-1])), len(names)) if len(names) else np.zeros(1, np.int64)
             lo = 0
             while lo < len(names):  # runs of whole names, of some thousand contexts
                 hi = int(cuts[min(np.searchsorted(cuts, lo + 10_000), len(cuts) - 1)])
-                some = part_rows.slice(lo, hi - lo).combine_chunks()
-                uid, packed = some.column("uid").to_numpy(), some.column("packed").to_numpy()
-                strings = Strings(some.column("name").to_numpy(), packed, some.column("context"))
-                order = np.argsort(strings.key, kind="stable")  # strings of a name come ordered by place in the corpus
-                key = strings.key[order]
-                same = np.flatnonzero(key[1:] == key[:-1])
-                same = same[strings.equal(order[same], order[same + 1])]
-                follows = np.zeros(len(order), bool)
-                follows[same + 1] = True
-                head = np.maximum.accumulate(np.where(follows, 0, np.arange(len(order))))
-                here, first = order, order[head]
-                own = (uid[strings.row[here]] == uid[strings.row[first]]) & (strings.start[here] == strings.start[first])
-                marked = np.zeros(len(order), bool)
-                marked[here] = follows & ~own
-                yield _intervals(uid, strings, marked)
+                some = whole.slice(lo, hi - lo)
                 lo = hi
+                name, inner, uid, packed = (some.column(c).to_numpy() for c in ("name", "inner", "uid", "packed"))
+                # the names of names: rows come by place in the corpus, so the first of each is the earliest
+                _, first, which = np.unique(mix64(name.view(np.uint64)) ^ inner.view(np.uint64), return_index=True, return_inverse=True)
+                lead = first[which]
+                later = (uid != uid[lead]) | (packed != packed[lead])
+                yield _whole(uid[later], packed[later])
+                keep = np.zeros(len(name), bool)
+                keep[first] = True
+                at = np.flatnonzero(keep)
+                new = np.append(True, name[at][1:] != name[at][:-1])
+                size = np.diff(np.append(np.flatnonzero(new), len(at)))
+                at = at[np.repeat(size > 1, size)]
+                if len(at):
+                    yield _first_strings(name[at], uid[at], packed[at], some.column("context").take(pa.array(at)).combine_chunks())
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(n, "name").sortWithinPartitions("name", "uid", "packed")
     return ordered.mapInArrow(run, "uid long, at long, to long")
 
 
+def _first_strings(name: np.ndarray, uid: np.ndarray, packed: np.ndarray, found: pa.Array) -> pa.RecordBatch:
+    """Repeats among the strings of different contexts of some names; rows come by name, then by place."""
+    strings = Strings(name, packed, found)
+    order = np.argsort(strings.key, kind="stable")
+    key = strings.key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    same = same[strings.equal(order[same], order[same + 1])]
+    follows = np.zeros(len(order), bool)
+    follows[same + 1] = True
+    first = order[np.maximum.accumulate(np.where(follows, 0, np.arange(len(order))))]
+    own = (uid[strings.row[order]] == uid[strings.row[first]]) & (strings.start[order] == strings.start[first])
+    marked = np.zeros(len(order), bool)
+    marked[order] = follows & ~own
+    return _intervals(uid, strings, marked)
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """The same for crowded names: every string is a row, equal strings meet in an aggregation."""
 
@@ -238,26 +280,30 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return later.select("uid", "at", (F.col("at") + LENGTH).alias("to"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(uid, spans array<struct<at, to>>) of documents (uid, text) with repeats: unordered, overlapping intervals of bytes."""
-    names = sampled(docs)
-    counts = names.groupBy("name").count().filter("count > 1").select("name")
-    repeated = staged(names.join(counts, "name"), "repeated-names")
-    found = staged(contexts(docs, repeated), "contexts")
+def _crowded(found: DataFrame) -> DataFrame:
+    """Repeats among the contexts of crowded names: equal contexts are aggregated first."""
+    found = staged(found, "crowded")
     place = F.struct("uid", "packed")
-    inner = staged(found.groupBy("name", "inner").agg(F.min(place).alias("first")), "inner-names")
-    crowded = inner.groupBy("name").count().filter(F.col("count") > CROWDED).select("name")
-    crowded = staged(crowded, "crowded-names")
-    told = found.select("name", "inner", "uid", "packed").join(inner, ["name", "inner"]).filter(place != F.col("first"))
+    inner = staged(found.groupBy("name", "inner").agg(F.min(place).alias("first"), F.first("context").alias("context")), "inner-names")
+    told = found.select("name", "inner", "uid", "packed").join(inner.select("name", "inner", "first"), ["name", "inner"]).filter(place != F.col("first"))
     start = F.shiftright("packed", 14) - F.shiftright("packed", 7).bitwiseAND(F.lit(127))
     strings = F.col("packed").bitwiseAND(F.lit(127))
     whole = told.select("uid", start.alias("at"), (start + strings + (LENGTH - 1)).alias("to"))
-    several = inner.groupBy("name").count().filter((F.col("count") > 1) & (F.col("count") <= CROWDED)).select("name")
-    lead = inner.select("name", "inner", "first.uid", "first.packed")
-    leading = found.join(lead.join(several, "name"), ["name", "inner", "uid", "packed"])
-    marks = whole.unionAll(_compared(leading))
-    if not crowded.isEmpty():
-        marks = marks.unionAll(_dealt(found.join(lead.join(crowded, "name"), ["name", "inner", "uid", "packed"])))
+    return whole.unionAll(_dealt(inner.select("name", "first.uid", "first.packed", "context")))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(uid, spans array<struct<at, to>>) of documents (uid, text) with repeats: unordered, overlapping intervals of bytes."""
+    known = sampled(docs).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name")))
+    known = staged(known.filter("n > 1 or packed < 0"), "repeated-names")
+    number = -1 - F.col("packed")
+    start = F.shiftright(number, 28)
+    runs = known.filter("packed < 0").select("uid", start.alias("at"), (start + number.bitwiseAND(F.lit((1 << 28) - 1))).alias("to"))
+    repeated = known.filter("packed >= 0")
+    marks = runs.unionAll(_compared(contexts(docs, repeated.filter(F.col("n") <= CROWDED))))
+    many = repeated.filter(F.col("n") > CROWDED)
+    if not many.isEmpty():
+        marks = marks.unionAll(_crowded(contexts(docs, many)))
     marks = staged(marks, "marks")
     return marks.groupBy("uid").agg(F.collect_list(F.struct("at", "to")).alias("spans"))
 
