@@ -1,19 +1,18 @@
 """Classifier helpers over Spark ML: fit / score, cross-validated grids,
 random-Fourier-feature maps and the per-model metrics row.
 
-Folds come from a column (``foldCol``) built by ``resample.stratified_folds``
-so cross-validation is exact-stratified and reproducible.
+Cross-validation takes (training rows, held-out rows) pairs, so a caller can
+balance each training part without touching the rows it is judged on.
 """
 
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Estimator
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +33,7 @@ def positive_score(pred: DataFrame, prob_col: str = "probability", name: str = "
 def metrics_row(pred: DataFrame, model: str, label: str = "label", scale: int = 3) -> DataFrame:
     """One row: model, accuracy, precision, recall, f1, specificity, auc (from scores)."""
     scored = positive_score(pred)
-    m = evaluate.binary_metrics(scored, label, "prediction", scale=None)
-    a = evaluate.auc(scored, label, "score")
-    row = m.crossJoin(a).select(F.lit(model).alias("model"), "*")
+    row = evaluate.scored_metrics(scored, label, "prediction", "score").select(F.lit(model).alias("model"), "*")
     return row.select("model", *[round_even(c, scale).alias(c) for c in row.columns if c != "model"])
 
 
@@ -45,24 +42,28 @@ def fit_score(estimator: Estimator, train: DataFrame, test: DataFrame, model: st
     return fitted, metrics_row(fitted.transform(test), model)
 
 
-def grid_search(estimator, grid, train: DataFrame, folds: int, fold_col: str = "fold", parallelism: int = 4):
-    """Exhaustive grid with fixed stratified folds; returns (cv model, avg-metric table)."""
-    ev = MulticlassClassificationEvaluator(metricName="accuracy", labelCol=estimator.getLabelCol())
-    cv = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol=fold_col,
-        parallelism=parallelism,
-    )
-    model = cv.fit(train)
-    best = int(np.argmax(model.avgMetrics))
+def hit_rate(model, rows: DataFrame) -> float:
+    return float(model.transform(rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+
+
+def k_fold(estimator: Estimator, splits: list[tuple[DataFrame, DataFrame]]) -> list[float]:
+    """Held-out accuracy of each (training rows, held-out rows) pair."""
+    return [hit_rate(estimator.fit(train), held) for train, held in splits]
+
+
+def grid_search(estimator, grid, splits: list[tuple[DataFrame, DataFrame]], parallelism: int = 4) -> DataFrame:
+    """Mean held-out accuracy of every grid point (point, params, mean_accuracy, is_best)."""
+    jobs = [(point, train, held) for point in grid for train, held in splits]
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(lambda j: hit_rate(estimator.fit(j[1], j[0]), j[2]), jobs, chunksize=1)
+    means = [sum(found[i * len(splits) : (i + 1) * len(splits)]) / len(splits) for i in range(len(grid))]
+    best = int(np.argmax(means))
     rows = []
-    for i, (pm, metric) in enumerate(zip(grid, model.avgMetrics)):
-        desc = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((i, desc, float(metric), i == best))
-    spark = train.sparkSession
-    table = spark.createDataFrame(rows, "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN").select(
-        "point", "params", round_even("mean_accuracy", 6).alias("mean_accuracy"), "is_best"
-    )
-    return model, table
+    for i, (point, mean) in enumerate(zip(grid, means)):
+        params = ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda kv: kv[0].name))
+        rows.append((i, params, float(mean), i == best))
+    table = splits[0][0].sparkSession.createDataFrame(rows, "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN")
+    return table.select("point", "params", round_even("mean_accuracy", 6).alias("mean_accuracy"), "is_best")
 
 
 def random_fourier_features(

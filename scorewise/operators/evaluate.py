@@ -88,11 +88,37 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", scale:
     return pts.unionByName(start)
 
 
+def scored_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", score: str = "score") -> DataFrame:
+    """accuracy, precision, recall, f1, specificity and auc from one pass over the predictions.
+
+    The pass counts the outcomes of every distinct score; the six numbers are
+    sums over that table, which is materialised once.
+    """
+    from scorewise.session import cut_lineage
+
+    y, p = F.col(label) == 1, F.col(prediction) == 1
+    groups = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"),
+        F.count_if(y).cast("double").alias("pos"), F.count_if(F.col(label) != 1).cast("double").alias("neg"),
+    )
+    groups = cut_lineage(groups)
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    precision, recall = _safe(tp, tp + fp), _safe(tp, tp + fn)
+    sums = groups.agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn", "tn")]).select(
+        _safe(tp + tn, tp + fp + fn + tn).alias("accuracy"), precision.alias("precision"), recall.alias("recall"),
+        _safe(2 * precision * recall, precision + recall).alias("f1"), _safe(tn, tn + fp).alias("specificity"),
+    )
+    return sums.crossJoin(_area(groups.select("threshold", "pos", "neg"), materialize=False))
+
+
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> Column | DataFrame:
     """Area under the ROC curve (trapezoid; ties count one half), distributed."""
-    g = _score_groups(df, label, score)
+    return _area(_score_groups(df, label, score), materialize=True)
+
+
+def _area(groups: DataFrame, materialize: bool) -> DataFrame:
     cum = running_totals(
-        g, ["threshold"], {"tp_before": F.col("pos")}, inclusive=False, descending=True, materialize=True
+        groups, ["threshold"], {"tp_before": F.col("pos")}, inclusive=False, descending=True, materialize=materialize
     )
     return cum.agg(
         F.try_divide(

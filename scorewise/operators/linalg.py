@@ -102,15 +102,15 @@ def _merge_partials(p: int):
     return run
 
 
-MAX_PARTIALS = 64
+MAX_PARTIALS = 16
 
 
 def moments(df: DataFrame, cols: list[str]) -> Moments:
     """Count, means and centred cross products of ``cols`` over complete rows.
 
     One pass: every partition reduces its rows to (n, mean, scatter) in numpy
-    (p + p² numbers).  When there are many partitions the partials are merged
-    in Spark first (a tree step down to ``MAX_PARTIALS`` rows), so the driver
+    (p + p² numbers).  The partials are merged in Spark first (a tree
+    step down to ``MAX_PARTIALS`` rows), so the driver
     only ever receives a bounded number of p×p summaries, which it merges with
     the pairwise update of Chan et al. — stable, no second scan.
     """
@@ -118,8 +118,8 @@ def moments(df: DataFrame, cols: list[str]) -> Moments:
     schema = "n double, mean array<double>, scatter array<double>"
     p = len(cols)
     partials = data.mapInPandas(_partition_moments(list(cols)), schema)
-    if partials.rdd.getNumPartitions() > MAX_PARTIALS:
-        partials = partials.repartition(MAX_PARTIALS).mapInPandas(_merge_partials(p), schema)
+    # one merge step at every size: the input is read once, the driver gets MAX_PARTIALS summaries at most
+    partials = partials.repartition(MAX_PARTIALS).mapInPandas(_merge_partials(p), schema)
     parts = partials.collect()
     n, mean, scatter = 0.0, np.zeros(p), np.zeros((p, p))
     for r in parts:

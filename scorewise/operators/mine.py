@@ -14,16 +14,23 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewise.session import cut_lineage
+
 
 def frequent_itemsets(baskets: DataFrame, min_support: float, items_col: str = "items") -> DataFrame:
-    """(items sorted array, freq, support) for every itemset with support >= ``min_support``."""
+    """(items sorted array, freq, support) for every itemset with support >= ``min_support``.
+
+    The baskets are read several times and the itemsets joined with themselves:
+    both are materialised once.
+    """
+    baskets = cut_lineage(baskets.select(items_col))
     n = baskets.count()
     model = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=1.0).fit(baskets)
-    return model.freqItemsets.select(
+    return cut_lineage(model.freqItemsets.select(
         F.array_sort("items").alias("items"),
         F.col("freq"),
         (F.col("freq") / F.lit(float(n))).alias("support"),
-    )
+    ))
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:

@@ -50,6 +50,10 @@ def _dist_to(x: np.ndarray, piv: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d2, 0.0, None))
 
 
+#: Pairs that a task scores exactly at once.
+PAIRS = 200_000
+
+
 def knn_join(
     queries: DataFrame,
     reference: DataFrame,
@@ -172,19 +176,21 @@ def knn_join(
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         # bound on the screen's rounding error: relative to d2 and to the squared norms
         thr = kth + 1e-9 * (1.0 + np.abs(kth)) + 1e-12 * ((qc_ * qc_).sum(1) + (rc_ * rc_).sum(1).max())
-        rows_i, cols_j = np.nonzero((d2 <= thr[:, None]) & np.isfinite(d2))
-        if not len(rows_i):
-            return pd.DataFrame({"qid": [], "nid": [], "distance": []})
-        diff = xr[cols_j] - xq[rows_i]
-        exact = np.sqrt((diff * diff).sum(-1))
-        cand = rids[cols_j]
-        order = np.lexsort((cand, exact, rows_i))
-        rows_o, exact_o, cand_o = rows_i[order], exact[order], cand[order]
-        starts = np.searchsorted(rows_o, rows_o, side="left")
-        pos = np.arange(len(rows_o)) - starts
-        keep = pos < k
-        return pd.DataFrame({"qid": qids[rows_o[keep]].astype("int64"), "nid": cand_o[keep].astype("int64"),
-                             "distance": exact_o[keep]})
+        near = (d2 <= thr[:, None]) & np.isfinite(d2)
+        found = []
+        step = max(1, PAIRS // max(1, xr.shape[0]))  # ties can make every pair a candidate
+        for lo in range(0, len(xq), step):
+            rows_i, cols_j = np.nonzero(near[lo:lo + step])
+            rows_i += lo
+            diff = xr[cols_j] - xq[rows_i]
+            exact = np.sqrt((diff * diff).sum(-1))
+            cand = rids[cols_j]
+            order = np.lexsort((cand, exact, rows_i))
+            rows_o, exact_o, cand_o = rows_i[order], exact[order], cand[order]
+            keep = np.arange(len(rows_o)) - np.searchsorted(rows_o, rows_o, side="left") < k
+            found.append((qids[rows_o[keep]].astype("int64"), cand_o[keep].astype("int64"), exact_o[keep]))
+        cols = [np.concatenate(c) for c in zip(*found)]
+        return pd.DataFrame(dict(zip(("qid", "nid", "distance"), cols)))
 
     partial = (
         qside.groupBy("grp", "cell", "qb", "rb")

@@ -22,23 +22,23 @@ from pyspark.sql import functions as F
 
 from scorewise.session import cut_lineage
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
+DEFAULT_ROWS_PER_BUCKET = 500_000
+#: Buckets at least, so that small and large inputs take the same plan.
+MIN_BUCKETS = 4
 _BUCKET = "_sw_bucket"
 
 
 def _bucketed(df: DataFrame, order_col: str, rows_per_bucket: int | None) -> DataFrame:
     rows_per_bucket = rows_per_bucket or DEFAULT_ROWS_PER_BUCKET
-    n = df.count()
-    nb = max(1, math.ceil(n / rows_per_bucket))
-    if nb == 1:
-        return df.withColumn(_BUCKET, F.lit(0.0))
+    nb = max(MIN_BUCKETS, math.ceil(df.count() / rows_per_bucket))
     probs = [i / nb for i in range(1, nb)]
     cuts = df.approxQuantile(order_col, probs, 1.0 / (4 * nb))
     splits = [-math.inf] + sorted({float(c) for c in cuts if c is not None}) + [math.inf]
     tmp = "_sw_order_d"
     out = df.withColumn(tmp, F.col(order_col).cast("double"))
     out = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BUCKET, handleInvalid="keep").transform(out)
-    return out.drop(tmp)
+    # rows without an order key come first, as in an ascending sort; NaN has the last bucket
+    return out.withColumn(_BUCKET, F.when(F.col(tmp).isNull(), F.lit(-1.0)).otherwise(F.col(_BUCKET))).drop(tmp)
 
 
 def running_totals(
@@ -54,7 +54,8 @@ def running_totals(
     """Add running sums of ``values`` in ``order_cols`` order within ``group_cols``.
 
     ``order_cols[0]`` must be numeric; the full ``order_cols`` list should be
-    unique within a group for a deterministic result.  The input is read three
+    unique within a group for a deterministic result.  Null order keys come
+    first; null group keys form a group.  The input is read three
     times (count, cut points, windows); pass ``materialize=True`` when it is an
     expensive plan so it is checkpointed once instead of recomputed.
     """
@@ -92,7 +93,11 @@ def running_totals(
             for name in values
         ],
     )
-    joined = work.join(offsets, on=[*group_cols, _BUCKET], how="inner")
+    right = offsets.withColumnsRenamed({c: f"_sw_g_{i}" for i, c in enumerate(group_cols)} | {_BUCKET: "_sw_b"})
+    hit = F.col(_BUCKET) == F.col("_sw_b")
+    for i, c in enumerate(group_cols):
+        hit = hit & F.col(c).eqNullSafe(F.col(f"_sw_g_{i}"))
+    joined = work.join(right, hit)
     for name in values:
         joined = joined.withColumn(name, F.col(f"_sw_o_{tmp[name]}") + F.col(f"_sw_l_{tmp[name]}"))
     drop = [_BUCKET] + [c for c in joined.columns if c.startswith("_sw_") and c not in values]

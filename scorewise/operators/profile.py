@@ -174,7 +174,7 @@ def _pair_merge_rows(p: int):
     return run
 
 
-MAX_PAIR_PARTIALS = 64
+MAX_PAIR_PARTIALS = 16
 
 
 def pairwise(df: DataFrame, cols: list[str], kind: str = "corr", scale: int = 1) -> DataFrame:
@@ -190,8 +190,8 @@ def pairwise(df: DataFrame, cols: list[str], kind: str = "corr", scale: int = 1)
     schema = "n array<double>, mean array<double>, m2 array<double>, cxy array<double>"
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
     partials = data.mapInPandas(_pair_partials(list(cols)), schema)
-    if partials.rdd.getNumPartitions() > MAX_PAIR_PARTIALS:
-        partials = partials.repartition(MAX_PAIR_PARTIALS).mapInPandas(_pair_merge_rows(p), schema)
+    # one merge step at every size: the input is read once, the driver gets MAX_PAIR_PARTIALS summaries at most
+    partials = partials.repartition(MAX_PAIR_PARTIALS).mapInPandas(_pair_merge_rows(p), schema)
     acc = None
     for r in partials.collect():
         part = tuple(np.asarray(r[k], dtype=float).reshape(p, p) for k in ("n", "mean", "m2", "cxy"))

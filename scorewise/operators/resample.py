@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewise.functions.scalar import SPLIT_MODULUS, SPLIT_MULTIPLIER, split_bucket
+from scorewise.functions.scalar import SPLIT_MODULUS, SPLIT_MULTIPLIER
 from scorewise.operators.neighbors import knn_join
 from scorewise.operators.ordinal import with_row_index
 
@@ -20,12 +20,6 @@ SMOTE_U_MULT_COPY = 104729
 SMOTE_U_RESOLUTION = 1000
 
 
-def train_test_split(df: DataFrame, id_col: str, test_pct: int = 20, seed: int = 5805) -> tuple[DataFrame, DataFrame]:
-    """Unstratified split by a deterministic id hash (stable under repartitioning)."""
-    b = split_bucket(id_col, seed)
-    return df.filter(b >= test_pct), df.filter(b < test_pct)
-
-
 def shuffle_key(id_col: str, seed: int):
     """A pseudo-random but reproducible ordering key of an integer id."""
     return F.pmod(
@@ -58,7 +52,9 @@ def smote(
     A synthetic row is ``x + u * (nn - x)`` where ``x`` is a minority row, ``nn``
     one of its ``k`` nearest same-class neighbours (exact k-NN join) and
     ``u`` in [0, 1).  Base rows are used round-robin in id order; neighbour
-    rank and ``u`` are arithmetic draws of (id, copy index, seed).
+    rank and ``u`` are arithmetic draws of (id, copy index, seed).  A class with
+    fewer than ``k + 1`` rows uses the neighbours it has; the copies of a class
+    of one row are that row, which is its own neighbour.
 
     Output columns: ``id`` (the base row's id for synthetic rows), ``label``,
     ``v``, ``synthetic``, ``copy`` (null for originals), ``neighbor_id``, ``u``.
@@ -68,34 +64,37 @@ def smote(
     need = {c: top - n for c, n in counts.items() if n < top}
     base = df.select(
         F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"),
-        F.lit(False).alias("synthetic"), F.lit(None).cast("int").alias("copy"),
+        F.lit(False).alias("synthetic"), F.lit(None).cast("long").alias("copy"),
         F.lit(None).cast("long").alias("neighbor_id"), F.lit(None).cast("double").alias("u"),
     )
     if not need:
         return base
-    k_eff = max(1, min(k, min(counts[c] for c in need) - 1))
+    near = {c: min(k, counts[c] - 1) for c in need}
     spark = df.sparkSession
     plan = F.broadcast(
-        spark.createDataFrame([(c, counts[c], n) for c, n in need.items()], f"label {dict(df.dtypes)[label_col]}, _m long, _need long")
+        spark.createDataFrame(
+            [(c, counts[c], n, near[c]) for c, n in need.items()],
+            f"label {dict(df.dtypes)[label_col]}, _m long, _need long, _k long",
+        )
     )
     mins = base.select("id", "label", "v").join(plan, "label")
-    nn = knn_join(mins, mins, k_eff, "id", "v", group_col="label", exclude_self=True)
     ranked = with_row_index(mins, ["id"], "_r", group_cols=["label"])
-    copies = (F.floor(F.col("_need") / F.col("_m")) + (F.col("_r") < F.col("_need") % F.col("_m")).cast("long")).cast("int")
-    ex = ranked.withColumn("_t", F.explode(F.sequence(F.lit(0), copies - 1)))
-    ex = ex.withColumn("copy", (F.col("_r") + F.col("_t") * F.col("_m")).cast("int"))
-    ex = ex.withColumn("_nr", (F.pmod(F.col("id") + F.col("copy"), F.lit(k_eff)) + 1).cast("int"))
+    copies = F.floor(F.col("_need") / F.col("_m")) + (F.col("_r") < F.col("_need") % F.col("_m")).cast("long")
+    ex = ranked.withColumn("_n", copies).filter("_n > 0").withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    ex = ex.withColumn("copy", F.col("_r") + F.col("_t") * F.col("_m"))
     ex = ex.withColumn(
         "u",
         F.pmod(
-            F.col("id") * SMOTE_U_MULT_ID + F.col("copy").cast("long") * SMOTE_U_MULT_COPY + F.lit(int(seed)),
+            F.col("id") * SMOTE_U_MULT_ID + F.col("copy") * SMOTE_U_MULT_COPY + F.lit(int(seed)),
             F.lit(SMOTE_U_RESOLUTION),
         ).cast("double") / float(SMOTE_U_RESOLUTION),
     )
-    picked = ex.join(
-        nn.select(F.col("qid").alias("id"), F.col("rank").alias("_nr"), F.col("nid").alias("neighbor_id")),
-        ["id", "_nr"],
-    )
+    picked = ex.filter("_k = 0").withColumn("neighbor_id", F.col("id"))
+    if max(near.values()) > 0:
+        pairs = knn_join(mins, mins, max(near.values()), "id", "v", group_col="label", exclude_self=True)
+        nn = pairs.select(F.col("qid").alias("id"), F.col("rank").cast("long").alias("_nr"), F.col("nid").alias("neighbor_id"))
+        drawn = ex.filter("_k > 0").withColumn("_nr", F.pmod(F.col("id") + F.col("copy"), F.col("_k")) + 1)
+        picked = picked.unionByName(drawn.join(nn, ["id", "_nr"]).drop("_nr"))
     nvec = base.select(F.col("id").alias("neighbor_id"), F.col("v").alias("_nv"))
     syn = picked.join(nvec, "neighbor_id").select(
         "id", "label",

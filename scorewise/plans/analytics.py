@@ -477,7 +477,6 @@ def adaboost_reweight(spark, sf):
 # --------------------------------------------------------------------------- M: association rules
 
 BASKET_COLS = ["CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE", "STATUS"]
-BASKET_LEVELS = {**{c: ENCODED[c] for c in BASKET_COLS[:-1]}, "STATUS": ["0", "1", "2", "3", "4", "5", "C", "X"]}
 RULE_SUPPORT = 0.05
 RULE_CONFIDENCE = 0.7
 

@@ -3,9 +3,11 @@ forests, ensembles, MLP, feature importances and cross-validation.
 
 All of them share one model table: prepared applicants -> one-hot -> z-scores
 (2 dp) -> deterministic 80/20 split by ID hash -> SMOTE on the training part
-only -> reliable checkpoint (fits read the training rows many times).
-Default grids are reduced (at most four points); the reference's full grids
-are plain parameter lists and can be passed in.
+only -> reliable checkpoint (fits read the training rows many times).  Each
+query makes the table itself: nothing is kept from one query to the next.
+Folds are drawn first and each training part is balanced on its own, so no
+synthetic row meets its parents across a fold.  The tree, forest and MLP grids
+are reduced; full grids are plain parameter lists and can be passed in.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PolynomialExpansion
+from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -29,7 +32,9 @@ from scorewise.plans.registry import query
 from scorewise.session import cut_lineage
 
 SEED = 5805
-CV_FOLDS = 3
+CV_FOLDS = 5
+FOREST_FOLDS = 3
+CHECK_FOLDS = 2
 # Deep trees: cache node ids (checkpointed to spark.checkpoint.dir every 10
 # iterations) instead of re-walking every tree for every row at each level.
 TREE_OPTS = {"cacheNodeIds": True, "maxMemoryInMB": 512}
@@ -37,18 +42,35 @@ DROP = ("ROW_NO", "ID", "STATUS", "CNT_CHILDREN", "response")
 
 
 class ModelData:
-    def __init__(self, train, test, feats, n_train):
-        self.train, self.test, self.feats, self.n_train = train, test, feats, n_train
-
-
-_CACHE: dict[tuple[int, str], ModelData] = {}
+    """Balanced training rows, test rows, and folds that are drawn before balancing."""
+
+    def __init__(self, plain, train, test, feats):
+        self.plain, self.train, self.test, self.feats = plain, train, test, feats
+        self.n_train = train.count()
+        self._splits = {}
+
+    def splits(self, folds: int = CV_FOLDS):
+        """(balanced training rows, held-out rows as they are) of each fold."""
+        if folds not in self._splits:
+            drawn = cut_lineage(resample.stratified_folds(self.plain, "label", "id", folds, seed=SEED))
+            self._splits[folds] = [
+                (
+                    _balanced(drawn.filter(F.col("fold") != f).drop("fold")),
+                    classify.vectors(drawn.filter(F.col("fold") == f).select(F.col("id").alias("key"), "id", "label", "v")),
+                )
+                for f in range(folds)
+            ]
+        return self._splits[folds]
+
+
+def _balanced(rows):
+    bal = resample.smote(rows, "label", "id", "v", k=5, seed=SEED)
+    bal = bal.withColumn("key", F.xxhash64("id", F.coalesce(F.col("copy"), F.lit(-1))))
+    return cut_lineage(classify.vectors(bal.select("key", "id", "label", "v")))
 
 
 def model_data(spark, sf) -> ModelData:
-    """Feature table shared by the model queries (checkpointed once per session and scale)."""
-    key = (id(spark), sf)
-    if key in _CACHE:
-        return _CACHE[key]
+    """Feature table of the model queries, materialised once per call."""
     enc = encoded(spark, sf).filter(F.col("response").isNotNull())
     z = standardize(enc, STD_COLS, 2)
     feats = [c for c in z.columns if c not in DROP]
@@ -59,17 +81,7 @@ def model_data(spark, sf) -> ModelData:
     rows = cut_lineage(rows)  # the prep / encode / scale plan runs once
     b = split_bucket("id", SEED)
     train, test = rows.filter(b >= 20), rows.filter(b < 20)
-    bal = resample.smote(train, "label", "id", "v", k=5, seed=SEED)
-    bal = bal.withColumn("key", F.xxhash64("id", F.coalesce(F.col("copy"), F.lit(-1))))
-    # fold ranking reads its input three times: materialise the balanced set once
-    bal = cut_lineage(bal.select("key", "id", "label", "v"))
-    bal = resample.stratified_folds(bal, "label", "key", CV_FOLDS, seed=SEED)
-    bal = classify.vectors(bal.select("key", "id", "label", "v", "fold"))
-    test = classify.vectors(test)
-    bal, test = cut_lineage(bal), cut_lineage(test)
-    data = ModelData(bal, test, feats, bal.count())
-    _CACHE[key] = data
-    return data
+    return ModelData(train, _balanced(train), cut_lineage(classify.vectors(test)), feats)
 
 
 def _reg(c: float, n: int) -> float:
@@ -91,21 +103,24 @@ def dt_grid(spark, sf):
     d = model_data(spark, sf)
     est = DecisionTreeClassifier(maxBins=64, seed=SEED, **TREE_OPTS)
     grid = ParamGridBuilder().addGrid(est.maxDepth, [2, 8]).addGrid(est.impurity, ["gini", "entropy"]).build()
-    return classify.grid_search(est, grid, d.train, CV_FOLDS)[1]
+    return classify.grid_search(est, grid, d.splits())
 
 
 @query("cv_accuracy")
 def cv_accuracy(spark, sf):
-    """Per-fold hold-out accuracy of a decision tree (stratified folds)."""
+    """Held-out accuracy of each fold of the two-fold check, for every plain model."""
     d = model_data(spark, sf)
-    rows = []
-    for f in range(CV_FOLDS):
-        m = DecisionTreeClassifier(maxDepth=30, maxBins=64, seed=SEED, **TREE_OPTS).fit(d.train.filter(F.col("fold") != f))
-        acc = m.transform(d.train.filter(F.col("fold") == f)).agg(
-            F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")
-        ).first()["a"]
-        rows.append((f, float(acc)))
-    return spark.createDataFrame(rows, "fold INT, accuracy DOUBLE").select("fold", round_even("accuracy", 6).alias("accuracy"))
+    models = {
+        "decision_tree": DecisionTreeClassifier(maxDepth=30, maxBins=64, seed=SEED, **TREE_OPTS),
+        "logistic_regression": LogisticRegression(maxIter=100, regParam=_reg(1.0, d.n_train), standardization=False),
+        "linear_svm": LinearSVC(maxIter=100, regParam=_reg(1.0, d.n_train), standardization=False),
+        "mlp": MultilayerPerceptronClassifier(layers=[len(d.feats), 10, 10, 2], maxIter=100, seed=SEED),
+    }
+    rows = [
+        (name, fold, acc) for name, est in models.items() for fold, acc in enumerate(classify.k_fold(est, d.splits(CHECK_FOLDS)))
+    ]
+    out = spark.createDataFrame(rows, "model STRING, fold INT, accuracy DOUBLE")
+    return out.select("model", "fold", round_even("accuracy", 6).alias("accuracy"))
 
 
 # --------------------------------------------------------------------------- linear models
@@ -121,8 +136,8 @@ def logreg(spark, sf):
 def logreg_grid(spark, sf):
     d = model_data(spark, sf)
     est = LogisticRegression(maxIter=100, elasticNetParam=0.0, standardization=False)
-    grid = ParamGridBuilder().addGrid(est.regParam, [_reg(c, d.n_train) for c in (0.01, 1.0, 10.0, 100.0)]).build()
-    return classify.grid_search(est, grid, d.train, CV_FOLDS)[1]
+    grid = ParamGridBuilder().addGrid(est.regParam, [_reg(c, d.n_train) for c in (0.01, 1.0, 10.0, 100.0)]).addGrid(est.maxIter, [100, 200]).build()
+    return classify.grid_search(est, grid, d.splits())
 
 
 @query("linear_svm")
@@ -145,9 +160,9 @@ def rbf_svm_rff(spark, sf):
 
 @query("poly_svm")
 def poly_svm(spark, sf):
-    """Polynomial kernel SVM (C=10) as an explicit degree-2 expansion + linear SVM."""
+    """Polynomial kernel SVM (C=10) as an explicit degree-3 expansion + linear SVM."""
     d = model_data(spark, sf)
-    pe = PolynomialExpansion(degree=2, inputCol="features", outputCol="poly")
+    pe = PolynomialExpansion(degree=3, inputCol="features", outputCol="poly")
     est = LinearSVC(maxIter=100, regParam=_reg(10.0, d.n_train), standardization=False, featuresCol="poly")
     return classify.fit_score(est, pe.transform(d.train), pe.transform(d.test), "poly_svm")[1]
 
@@ -169,15 +184,25 @@ def gaussian_nb(spark, sf):
 
 @query("gaussian_nb_grid")
 def gaussian_nb_grid(spark, sf):
-    """var_smoothing ∈ {1e-9, 1e-5, 1e-3} with the stratified folds."""
+    """var_smoothing ∈ {1e-9, 1e-5, 1e-3}, judged on the folds' held-out rows."""
     d = model_data(spark, sf)
     names = [f"f{i}" for i in range(len(d.feats))]
-    tr = _unpacked(d.train, d.feats)
-    scores = bayes.cv_grid(tr, "label", names, "fold", CV_FOLDS, [1e-9, 1e-5, 1e-3])
-    rows = [(i, f"var_smoothing={s}", float(acc)) for i, (s, acc) in enumerate(scores)]
-    best = max(range(len(rows)), key=lambda i: rows[i][2])
-    out = [(i, p, m, i == best) for i, p, m in rows]
-    return spark.createDataFrame(out, "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN").select(
+    points = [1e-9, 1e-5, 1e-3]
+    accs = {s: [] for s in points}
+    for train, held in d.splits():
+        tr, te = _unpacked(train, d.feats), _unpacked(held, d.feats)
+        plain = cut_lineage(bayes.fit_params(tr, "label", names, 0.0))
+        for s in points:
+            params = bayes.smoothed(plain, tr, names, s)
+            hit = bayes.predict(te, params, names).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")))
+            accs[s].append(float(hit.first()[0]))
+    return _table(spark, [(f"var_smoothing={s}", sum(accs[s]) / len(accs[s])) for s in points])
+
+
+def _table(spark, points):
+    best = max(range(len(points)), key=lambda i: (points[i][1], -i))
+    rows = [(i, p, float(m), i == best) for i, (p, m) in enumerate(points)]
+    return spark.createDataFrame(rows, "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN").select(
         "point", "params", round_even("mean_accuracy", 6).alias("mean_accuracy"), "is_best"
     )
 
@@ -187,7 +212,7 @@ def gaussian_nb_grid(spark, sf):
 @query("random_forest")
 def random_forest(spark, sf):
     d = model_data(spark, sf)
-    est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=15, seed=SEED, **TREE_OPTS)
+    est = RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=SEED, **TREE_OPTS)
     return classify.fit_score(est, d.train, d.test, "random_forest")[1]
 
 
@@ -196,7 +221,7 @@ def rf_grid(spark, sf):
     d = model_data(spark, sf)
     est = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS)
     grid = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).addGrid(est.numTrees, [50, 100]).build()
-    return classify.grid_search(est, grid, d.train, CV_FOLDS)[1]
+    return classify.grid_search(est, grid, d.splits(FOREST_FOLDS))
 
 
 def _importances(spark, sf):
@@ -227,7 +252,7 @@ def bagging_rf(spark, sf):
 @query("stacking_rf")
 def stacking_rf(spark, sf):
     d = model_data(spark, sf)
-    return classify.metrics_row(ensemble.stacking(d.train, d.test, "fold", CV_FOLDS, seed=SEED), "stacking_rf")
+    return classify.metrics_row(ensemble.stacking(d.train, d.test, d.splits(), seed=SEED), "stacking_rf")
 
 
 @query("adaboost_rf")
@@ -249,14 +274,14 @@ def mlp(spark, sf):
 def mlp_grid(spark, sf):
     d = model_data(spark, sf)
     p = len(d.feats)
-    est = MultilayerPerceptronClassifier(maxIter=100, seed=SEED)
+    est = MultilayerPerceptronClassifier(maxIter=100, solver="gd", seed=SEED)  # l-bfgs has no step size
     grid = (
         ParamGridBuilder()
         .addGrid(est.layers, [[p, 10, 10, 2], [p, 20, 20, 2]])
         .addGrid(est.stepSize, [0.03, 0.1])
         .build()
     )
-    return classify.grid_search(est, grid, d.train, CV_FOLDS)[1]
+    return classify.grid_search(est, grid, d.splits())
 
 
 # --------------------------------------------------------------------------- post-pruning (C3)
@@ -304,41 +329,41 @@ def knn_grid(spark, sf):
     d = model_data(spark, sf)
     ks = [2, 3, 4]
     accs = {k: [] for k in ks}
-    for f in range(CV_FOLDS):
-        tr, va = d.train.filter(F.col("fold") != f), d.train.filter(F.col("fold") == f)
+    for tr, va in d.splits():
         nn = neighbors.knn_join(va.select(F.col("key").alias("id"), "v"), tr.select(F.col("key").alias("id"), "v"), max(ks))
         votes = neighbors.vote(nn, tr.select(F.col("key").alias("id"), "label"), ks, "id", "label")
         truth = va.select(F.col("key").alias("qid"), "label")
         res = votes.join(truth, "qid").groupBy("k").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a"))
         for r in res.collect():
             accs[int(r["k"])].append(float(r["a"]))
-    rows = [(i, f"k={k}", sum(accs[k]) / len(accs[k])) for i, k in enumerate(ks)]
-    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
-    return spark.createDataFrame(
-        [(i, p, m, i == best) for i, p, m in rows], "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN"
-    ).select("point", "params", round_even("mean_accuracy", 6).alias("mean_accuracy"), "is_best")
+    return _table(spark, [(f"k={k}", sum(accs[k]) / len(accs[k])) for k in ks])
 
 
 @query("svm_grid")
 def svm_grid(spark, sf):
-    """Kernel SVM grid: RBF (random Fourier features) γ ∈ {1, 0.001} × C ∈ {0.1, 10}."""
+    """Kernel SVM grid: RBF (random Fourier features) and degree-3 polynomial kernels, γ ∈ {1, 0.001} × C ∈ {0.1, 10}.
+
+    The polynomial kernel takes γ as a scale of the inputs (its square root each)."""
     d = model_data(spark, sf)
     dim = len(d.feats)
-    rows = []
-    for gamma in (1.0, 0.001):
-        z = classify.random_fourier_features(d.train.drop("features"), "v", dim, 200, gamma, SEED)
-        z = cut_lineage(z)
-        for c in (0.1, 10.0):
-            accs = []
-            for f in range(CV_FOLDS):
-                m = LinearSVC(maxIter=100, regParam=_reg(c, d.n_train), standardization=False).fit(z.filter(F.col("fold") != f))
-                a = m.transform(z.filter(F.col("fold") == f)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-                accs.append(float(a))
-            rows.append((len(rows), f"kernel=rbf, gamma={gamma}, C={c}", sum(accs) / len(accs)))
-    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
-    return spark.createDataFrame(
-        [(i, p, m, i == best) for i, p, m in rows], "point INT, params STRING, mean_accuracy DOUBLE, is_best BOOLEAN"
-    ).select("point", "params", round_even("mean_accuracy", 6).alias("mean_accuracy"), "is_best")
+    expand = PolynomialExpansion(degree=3, inputCol="features", outputCol="_poly")
+
+    def mapped(kernel, gamma, rows):
+        if kernel == "rbf":
+            return classify.random_fourier_features(rows.drop("features"), "v", dim, 200, gamma, SEED)
+        scale = ElementwiseProduct(scalingVec=Vectors.dense([gamma**0.5] * dim), inputCol="features", outputCol="_scaled")
+        out = expand.copy({expand.inputCol: "_scaled"}).transform(scale.transform(rows))
+        return out.select("key", "label", F.col("_poly").alias("features"))
+
+    points = []
+    for kernel in ("rbf", "poly"):
+        for gamma in (1.0, 0.001):
+            splits = [(cut_lineage(mapped(kernel, gamma, tr)), mapped(kernel, gamma, va)) for tr, va in d.splits(FOREST_FOLDS)]
+            for c in (0.1, 10.0):
+                est = LinearSVC(maxIter=100, regParam=_reg(c, d.n_train), standardization=False)
+                accs = classify.k_fold(est, splits)
+                points.append((f"kernel={kernel}, gamma={gamma}, C={c}", sum(accs) / len(accs)))
+    return _table(spark, points)
 
 
 @query("knn_model")

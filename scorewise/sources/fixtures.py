@@ -8,18 +8,12 @@ FIXTURES.md.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
-
 FX_APPLICATION_SQL = """
 WITH base AS (
- SELECT c_custkey AS ROW_NO, c_custkey AS ID,
+ SELECT c_custkey AS ROW_NO,
+  CASE WHEN c_custkey % 10 = 9 THEN c_custkey + 1000000000 ELSE c_custkey END AS ID,
   CASE WHEN c_nationkey < 12 THEN 'F' ELSE 'M' END AS CODE_GENDER,
   CASE WHEN c_custkey % 3 = 0 THEN 'Y' ELSE 'N' END AS FLAG_OWN_CAR,
   CASE WHEN c_custkey % 5 < 3 THEN 'Y' ELSE 'N' END AS FLAG_OWN_REALTY,
@@ -32,8 +26,7 @@ WITH base AS (
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE n_name END AS OCCUPATION_TYPE,
   CAST(1 + c_custkey % 4 AS DOUBLE) AS CNT_FAM_MEMBERS
  FROM customer JOIN nation ON c_nationkey = n_nationkey
-               JOIN region ON n_regionkey = r_regionkey
- WHERE c_custkey % 10 <> 9)
+               JOIN region ON n_regionkey = r_regionkey)
 SELECT * FROM base
 UNION ALL
 SELECT ROW_NO + 100000000 AS ROW_NO, ID, CODE_GENDER, FLAG_OWN_CAR, FLAG_OWN_REALTY, CNT_CHILDREN,
@@ -43,14 +36,15 @@ FROM base WHERE ID % 50 = 0
 """
 
 FX_CREDIT_SQL = """
-SELECT o_orderkey AS ROW_NO, o_custkey AS ID,
+SELECT o_orderkey AS ROW_NO,
+ CASE WHEN o_custkey % 10 = 8 THEN o_custkey + 2000000000 ELSE o_custkey END AS ID,
  CAST((year(o_orderdate) - 2001) * 12 + month(o_orderdate) - 12 AS INT) AS MONTHS_BALANCE,
  CASE o_orderstatus
   WHEN 'F' THEN 'C'
   WHEN 'O' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE '0' END
   ELSE CASE WHEN o_orderkey % 3 = 0 THEN substring(o_orderpriority, 1, 1) ELSE '0' END
  END AS STATUS
-FROM orders WHERE o_custkey % 10 <> 8
+FROM orders
 """
 
 FX_PRED_SQL = """
@@ -83,26 +77,18 @@ FIXTURE_SQL = {
 }
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables and the fixture views as temp views."""
-    for name in BASE_TABLES:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(path) or "://" in sf_dir:
-            spark.read.parquet(path).createOrReplaceTempView(name)
-    for name, sql in FIXTURE_SQL.items():
-        spark.sql(sql).createOrReplaceTempView(name)
-    spark.sql(FX_POINTS_SPARK_SQL).createOrReplaceTempView("fx_points")
+#: The driver tables that each fixture view reads.
+NEEDS = {
+    "fx_application": ("customer", "nation", "region"),
+    "fx_credit": ("orders",),
+    "fx_pred": ("labels", "documents"),
+    "fx_reg": ("orders",),
+    "fx_points": ("embeddings",),
+}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register_tables(spark, sf_dir)
-    return spark.table(name)
-
-
-def duck_cte(*names: str) -> str:
-    """``WITH`` clause that defines the named fixture views for DuckDB."""
-    parts = []
-    for n in names:
-        sql = FX_POINTS_DUCK_SQL if n == "fx_points" else FIXTURE_SQL[n]
-        parts.append(f"{n} AS ({sql.strip()})")
-    return "WITH " + ",\n".join(parts)
+    """A fixture view; only the tables that it reads are opened."""
+    for table in NEEDS[name]:
+        spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(FX_POINTS_SPARK_SQL if name == "fx_points" else FIXTURE_SQL[name])
