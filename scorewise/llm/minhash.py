@@ -263,7 +263,8 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int
     """
     sizes = groups.groupBy("component").agg(F.sum("n").alias("shingles"))
     members = groups.join(sizes, "component").select("uid", "component", "shingles")
-    chosen = members.join(docs.select("uid", "text"), "uid")
+    # the members grow with the corpus: they are never broadcast to the texts
+    chosen = docs.select("uid", "text").join(members.hint("merge"), "uid")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
