@@ -29,7 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = add_uid(docs, key)
     groups = minhash.near_duplicates(docs, words=5, percent=80)
     gone = groups.filter("uid <> component").select(F.col("uid").alias(key)).distinct()
-    left = keyed.join(gone, key, "left_anti")
+    left = keyed.join(gone.hint("merge"), key, "left_anti")
     odd = docs.groupBy("doc_id").count().filter("count > 1")
     if not odd.isEmpty():  # equal rows are one document
         left = left.dropDuplicates([key])
@@ -48,7 +48,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     keyed = add_uid(docs, key)
     found = decontam.matches(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
     gone = found.select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(gone, key, "left_anti").drop(key)
+    return keyed.join(gone.hint("merge"), key, "left_anti").drop(key)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
