@@ -104,6 +104,43 @@ def wss_single_cluster(df: DataFrame, vec_col: str = "v") -> DataFrame:
     return per_dim.agg(F.sum("s").alias("wss"))
 
 
+def silhouette_squared(df: DataFrame, label_cols: list[str], vec_col: str = "v") -> DataFrame:
+    """Mean silhouette by squared Euclidean distance for each labelling, as (labeling, silhouette).
+
+    The squared distances from a row to all rows of a cluster add up to
+    ``n |x|² + Σ|y|² - 2 x·Σy``: every row meets the clusters' counts, vector
+    sums and squared norms (labelings × clusters × dimensions numbers), never
+    other rows.  Rows of a cluster of one score 0.
+    """
+    labels = F.array(*[F.col(c).cast("long") for c in label_cols])
+    rows = df.select(F.col(vec_col).alias("v"), F.posexplode(labels).alias("s", "c"))
+    dims = rows.select("s", "c", F.posexplode("v").alias("pos", "x")).groupBy("s", "c", "pos").agg(
+        F.count("x").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("q")
+    )
+    stats = dims.groupBy("s", "c").agg(
+        F.max("n").alias("n"), F.sum("q").alias("q"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "sx"))), lambda p: p["sx"]).alias("sums"),
+    )
+    clusters = stats.groupBy("s").agg(F.collect_list(F.struct("c", "n", "q", "sums")).alias("cl"))
+    met = rows.join(F.broadcast(clusters), "s")
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    norm = dot(F.col("v"), F.col("v"))
+    total = F.transform(
+        "cl", lambda k: F.struct(k["c"].alias("c"), k["n"].alias("n"), F.greatest(k["n"] * F.col("_norm") + k["q"] - 2 * dot(F.col("v"), k["sums"]), F.lit(0.0)).alias("d"))
+    )
+    met = met.withColumn("_norm", norm).withColumn("_t", total)
+    own = F.filter("_t", lambda t: t["c"] == F.col("c"))[0]
+    others = F.filter("_t", lambda t: t["c"] != F.col("c"))
+    a = F.try_divide(own["d"], (own["n"] - 1).cast("double"))
+    b = F.array_min(F.transform(others, lambda t: t["d"] / t["n"]))
+    value = F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    names = F.array(*[F.lit(c) for c in label_cols])
+    return met.groupBy("s").agg(F.avg(value).alias("silhouette")).select(names[F.col("s")].alias("labeling"), "silhouette")
+
+
 def _exact_distances(xl: np.ndarray, xr: np.ndarray, chunk: int = 64) -> np.ndarray:
     """Euclidean distances from direct differences (no |a|²+|b|²-2ab cancellation),
     in row chunks so the temporary stays at chunk × |xr| × dim."""

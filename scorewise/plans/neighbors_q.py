@@ -9,6 +9,7 @@ from scorewise.operators import bayes, cluster, neighbors, resample
 from scorewise.plans.analytics import STD_COLS, encoded
 from scorewise.plans.duck import PREP_CTE, fx, with_fx
 from scorewise.plans.registry import query
+from scorewise.session import cut_lineage
 from scorewise.sources.fixtures import fixture
 
 SEED = 5805
@@ -261,6 +262,21 @@ def silhouette_euclidean(spark, sf):
     return cluster.silhouette(p, ["label"]).select("labeling", round_even("silhouette", 6).alias("silhouette"))
 
 
+@query(
+    "silhouette_squared",
+    with_fx("fx_points")
+    + """,
+d AS (SELECT a.id, a.label AS own, b.label AS other, list_distance(a.v, b.v) * list_distance(a.v, b.v) AS dist
+      FROM fx_points a JOIN fx_points b ON a.id <> b.id),
+m AS (SELECT id, own, other, avg(dist) AS md FROM d GROUP BY id, own, other),
+s AS (SELECT id, max(CASE WHEN other = own THEN md END) AS a, min(CASE WHEN other <> own THEN md END) AS b FROM m GROUP BY id)
+SELECT 'label' AS labeling, round_even(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""",
+)
+def silhouette_squared(spark, sf):
+    p = fixture(spark, sf, "fx_points")
+    return cluster.silhouette_squared(p, ["label"]).select("labeling", round_even("silhouette", 6).alias("silhouette"))
+
+
 @query("silhouette_curve")
 def silhouette_curve(spark, sf):
     p = points(spark, sf).select("id", "v")
@@ -269,6 +285,7 @@ def silhouette_curve(spark, sf):
     for k in ks:
         model = cluster.kmeans(p, k, seed=SEED)
         labelled = cluster.kmeans_predict(model, labelled).withColumnRenamed("cluster", f"k{k}")
+    labelled = cut_lineage(labelled)  # fourteen predictions, read several times
     sil = cluster.silhouette(labelled, [f"k{k}" for k in ks])
     return sil.select(F.expr("CAST(substring(labeling, 2) AS INT)").alias("k"), round_even("silhouette", 6).alias("silhouette"))
 
@@ -282,8 +299,6 @@ NB_SMOOTHING = 1e-9
 def _nb_data(spark, sf):
     from scorewise.operators.encode import standardize
 
-    from scorewise.session import cut_lineage
-
     enc = encoded(spark, sf).filter(F.col("response").isNotNull())
     z = cut_lineage(standardize(enc, STD_COLS, 2).select("ID", "response", *NB_FEATS))  # read by fit and predict
     b = split_bucket("ID", SEED)
