@@ -140,9 +140,9 @@ def sampled(docs: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(name, inner, uid, packed, context): repeated samples with the bytes of all their strings."""
-    lists = repeated.groupBy("uid").agg(F.collect_list(F.struct("name", "packed")).alias("samples"))
-    rows = docs.select("uid", "text").join(lists, "uid").select("uid", "text", "samples.name", "samples.packed")
+    """(name, inner, uid, packed, crowded, context): repeated samples with the bytes of all their strings."""
+    lists = repeated.groupBy("uid").agg(F.collect_list(F.struct("name", "packed", (F.col("n") > CROWDED).alias("crowded"))).alias("samples"))
+    rows = docs.select("uid", "text").join(lists.hint("merge"), "uid").select("uid", "text", "samples.name", "samples.packed", "samples.crowded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -161,11 +161,11 @@ def contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 for lo in range(0, len(found), 20_000):
                     cut = slice(lo, lo + 20_000)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("name").flatten()[cut], pa.array(inner[cut], pa.int64()), pa.array(uid[cut]), pa.array(packed[cut]), pa.array(found[cut], pa.binary())],
-                        ["name", "inner", "uid", "packed", "context"],
+                        [part.column("name").flatten()[cut], pa.array(inner[cut], pa.int64()), pa.array(uid[cut]), pa.array(packed[cut]), part.column("crowded").flatten()[cut], pa.array(found[cut], pa.binary())],
+                        ["name", "inner", "uid", "packed", "crowded", "context"],
                     )
 
-    return rows.mapInArrow(run, "name long, inner long, uid long, packed long, context binary")
+    return rows.mapInArrow(run, "name long, inner long, uid long, packed long, crowded boolean, context binary")
 
 
 class Strings:
@@ -215,35 +215,54 @@ def _whole(uid: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """Repeats among the contexts of each name; the rows of a name meet in one task."""
+    """Repeats among the contexts of each name, as (uid, at, to).
+
+    The rows of a name meet in one task.  A crowded name is dealt out by the
+    names of its contexts: equal contexts meet, and the first of each comes back
+    (name, packed and context are not null) to be compared by ``_dealt``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _groups(batches, "name"):
-            names = whole.column("name").to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, names[1:] != names[:-1])), len(names))
+        for whole in _groups(batches, "group"):
+            groups = whole.column("group").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, groups[1:] != groups[:-1])), len(groups))
             lo = 0
-            while lo < len(names):  # runs of whole names, of some thousand contexts
+            while lo < len(groups):  # runs of whole groups, of some thousand contexts
                 hi = int(cuts[min(np.searchsorted(cuts, lo + 10_000), len(cuts) - 1)])
                 some = whole.slice(lo, hi - lo)
                 lo = hi
-                name, inner, uid, packed = (some.column(c).to_numpy() for c in ("name", "inner", "uid", "packed"))
+                group, name, inner, uid, packed, crowded = (some.column(c).to_numpy() for c in ("group", "name", "inner", "uid", "packed", "crowded"))
                 # the names of names: rows come by place in the corpus, so the first of each is the earliest
                 _, first, which = np.unique(mix64(name.view(np.uint64)) ^ inner.view(np.uint64), return_index=True, return_inverse=True)
                 lead = first[which]
                 later = (uid != uid[lead]) | (packed != packed[lead])
-                yield _whole(uid[later], packed[later])
+                yield _told(_whole(uid[later], packed[later]))
                 keep = np.zeros(len(name), bool)
                 keep[first] = True
-                at = np.flatnonzero(keep)
-                new = np.append(True, name[at][1:] != name[at][:-1])
-                size = np.diff(np.append(np.flatnonzero(new), len(at)))
-                at = at[np.repeat(size > 1, size)]
+                at = np.flatnonzero(keep & ~crowded)
+                if len(at):
+                    new = np.append(True, group[at][1:] != group[at][:-1])
+                    size = np.diff(np.append(np.flatnonzero(new), len(at)))
+                    at = at[np.repeat(size > 1, size)]
+                if len(at):
+                    # groups are names but for hash collisions; strings of a name come by place
+                    at = at[np.argsort(name[at], kind="stable")]
+                    yield _told(_first_strings(name[at], uid[at], packed[at], some.column("context").take(pa.array(at)).combine_chunks()))
+                at = np.flatnonzero(keep & crowded)
                 if len(at):
-                    yield _first_strings(name[at], uid[at], packed[at], some.column("context").take(pa.array(at)).combine_chunks())
+                    none = pa.nulls(len(at), pa.int64())
+                    kept = some.column("context").take(pa.array(at)).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[at]), none, none, pa.array(name[at]), pa.array(packed[at]), kept], ["uid", "at", "to", "name", "packed", "context"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "name").sortWithinPartitions("name", "uid", "packed")
-    return ordered.mapInArrow(run, "uid long, at long, to long")
+    dealt = F.when(F.col("crowded"), F.pmod("inner", F.lit(1024))).otherwise(F.lit(-1))
+    ordered = rows.withColumn("group", F.xxhash64("name", dealt)).repartition(n, "group").sortWithinPartitions("group", "uid", "packed")
+    return ordered.mapInArrow(run, "uid long, at long, to long, name long, packed long, context binary")
+
+
+def _told(marks: pa.RecordBatch) -> pa.RecordBatch:
+    none = pa.nulls(marks.num_rows, pa.int64())
+    return pa.RecordBatch.from_arrays([*marks.columns, none, none, pa.nulls(marks.num_rows, pa.binary())], ["uid", "at", "to", "name", "packed", "context"])
 
 
 def _first_strings(name: np.ndarray, uid: np.ndarray, packed: np.ndarray, found: pa.Array) -> pa.RecordBatch:
@@ -280,18 +299,6 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return later.select("uid", "at", (F.col("at") + LENGTH).alias("to"))
 
 
-def _crowded(found: DataFrame) -> DataFrame:
-    """Repeats among the contexts of crowded names: equal contexts are aggregated first."""
-    found = staged(found, "crowded")
-    place = F.struct("uid", "packed")
-    inner = staged(found.groupBy("name", "inner").agg(F.min(place).alias("first"), F.first("context").alias("context")), "inner-names")
-    told = found.select("name", "inner", "uid", "packed").join(inner.select("name", "inner", "first"), ["name", "inner"]).filter(place != F.col("first"))
-    start = F.shiftright("packed", 14) - F.shiftright("packed", 7).bitwiseAND(F.lit(127))
-    strings = F.col("packed").bitwiseAND(F.lit(127))
-    whole = told.select("uid", start.alias("at"), (start + strings + (LENGTH - 1)).alias("to"))
-    return whole.unionAll(_dealt(inner.select("name", "first.uid", "first.packed", "context")))
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """(uid, spans array<struct<at, to>>) of documents (uid, text) with repeats: unordered, overlapping intervals of bytes."""
     known = sampled(docs).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name")))
@@ -299,12 +306,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     number = -1 - F.col("packed")
     start = F.shiftright(number, 28)
     runs = known.filter("packed < 0").select("uid", start.alias("at"), (start + number.bitwiseAND(F.lit((1 << 28) - 1))).alias("to"))
-    repeated = known.filter("packed >= 0")
-    marks = runs.unionAll(_compared(contexts(docs, repeated.filter(F.col("n") <= CROWDED))))
-    many = repeated.filter(F.col("n") > CROWDED)
-    if not many.isEmpty():
-        marks = marks.unionAll(_crowded(contexts(docs, many)))
-    marks = staged(marks, "marks")
+    found = staged(_compared(contexts(docs, known.filter("packed >= 0"))), "compared")
+    marks = runs.unionAll(found.filter("at is not null").select("uid", "at", "to"))
+    crowded = found.filter("at is null")
+    if not crowded.isEmpty():
+        marks = marks.unionAll(_dealt(crowded.select("name", "uid", "packed", "context")))
     return marks.groupBy("uid").agg(F.collect_list(F.struct("at", "to")).alias("spans"))
 
 
@@ -324,7 +330,7 @@ def _covered(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(uid, id, n_bytes, n_removed, n_spans, kept binary): every document without its repeats."""
-    rows = docs.join(spans, "uid", "left").select("uid", "id", "text", "spans")
+    rows = docs.join(spans.hint("merge"), "uid", "left").select("uid", "id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -354,7 +360,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     uid, gone = free_name("_uid", docs.columns), free_name("_spans", docs.columns)
     names = docs.columns
     spans = repeats(with_uid(docs, id_col, text_col)).withColumnsRenamed({"uid": uid, "spans": gone})
-    rows = add_uid(docs, uid, id_col, text_col).join(spans, uid, "left").select(*docs.columns, gone)
+    rows = add_uid(docs, uid, id_col, text_col).join(spans.hint("merge"), uid, "left").select(*docs.columns, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
