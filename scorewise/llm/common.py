@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +63,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of data frames that nobody holds any more."""
     gc.collect()
+    time.sleep(0.05)  # the JVM hears of dropped data frames from another thread
     spark.sparkContext._jvm.System.gc()
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorewise.llm.common import add_uid, free_name, mix64, offsets_of, pieces, ragged, staged, table, utf8, with_uid
+from scorewise.llm.common import add_uid, free_name, mix64, offsets_of, pieces, ragged, release, staged, table, utf8, with_uid
 from scorewise.llm.minhash import _groups
 
 LENGTH = 100
@@ -303,11 +303,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(uid, spans array<struct<at, to>>) of documents (uid, text) with repeats: unordered, overlapping intervals of bytes."""
     known = sampled(docs).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name")))
     known = staged(known.filter("n > 1 or packed < 0"), "repeated-names")
+    release(docs.sparkSession)  # the samples' shuffle files can go before the texts are shuffled
     number = -1 - F.col("packed")
     start = F.shiftright(number, 28)
     runs = known.filter("packed < 0").select("uid", start.alias("at"), (start + number.bitwiseAND(F.lit((1 << 28) - 1))).alias("to"))
     found = staged(_compared(contexts(docs, known.filter("packed >= 0"))), "compared")
     marks = runs.unionAll(found.filter("at is not null").select("uid", "at", "to"))
+    release(docs.sparkSession)
     crowded = found.filter("at is null")
     if not crowded.isEmpty():
         marks = marks.unionAll(_dealt(crowded.select("name", "uid", "packed", "context")))
