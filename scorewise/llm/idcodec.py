@@ -37,7 +37,7 @@ MAX_BITS = 18
 STEP = 256
 BLOCK_IDS = 1 << 16
 #: Pieces kept by each worker: the library is slower than a larger cache.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 220_000
 
 
 @functools.cache
