@@ -5,7 +5,7 @@
    goes on.
 2. A document is posted under its (coordinate, value) pairs.  Documents whose
    sets are at least as similar as the threshold agree on ``MATCHES``
-   coordinates or more, but for less than one pair in five million exactly at
+   coordinates or more, but for about two pairs in ten million exactly at
    0.8.  Two documents with that many common pairs have one in their first
    COORDS - MATCHES + 1 pairs, rarest first; only these prefixes are posted,
    and documents with too few shared pairs are skipped.
