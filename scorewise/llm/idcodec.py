@@ -12,6 +12,9 @@ Files: ``<path>/lengths`` (id, count, bits) and ``<path>/blocks`` (first id
 position, checkpoints, bits, and the documents' ids, starts and sizes), both
 Parquet, written by Spark, so they can lie in any store that Spark reaches.
 
+Ids are those of the library on the whole text: added tokens of the tokenizer
+file are cut out of a text first and have their own ids.
+
 Defined results: null and empty texts have the end id only; rows that share an
 id, or have none (these come first), follow each other by text; an empty table
 gives empty files.
@@ -20,13 +23,16 @@ gives empty files.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +52,6 @@ def _library_cache(path: str) -> PieceCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def encode(words: list[bytes]) -> list[bytes]:
         found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -55,6 +60,40 @@ def _library_cache(path: str) -> PieceCache:
     return PieceCache(encode, CACHE_PIECES)
 
 
+@functools.cache
+def _added(path: str) -> dict[str, int]:
+    """The file's added tokens, longest first."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens") or []
+    for token in tokens:
+        if token["lstrip"] or token["rstrip"] or token["single_word"]:
+            raise ValueError(f"added token {token['content']!r}: only plain added tokens are known")
+    return {t["content"]: t["id"] for t in sorted(tokens, key=lambda t: -len(t["content"]))}
+
+
+def text_ids(column: pa.Array, cache: PieceCache, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, and the offsets of each row's ids; texts are cut at added tokens before they become pieces."""
+    if not any(pc.any(pc.match_substring(column, token)).as_py() for token in added):
+        return batch_ids(column, cache)
+    cut = re.compile("(" + "|".join(map(re.escape, added)) + ")")
+    spans, after, rows = [], [], [0]
+    for text in column.to_pylist():
+        found = cut.split(text or "")
+        spans += found[::2]
+        after += [added[token] for token in found[1::2]]
+        after.append(-1)
+        rows.append(len(spans))
+    ids, offsets = batch_ids(pa.array(spans, column.type), cache)
+    token = np.array(after, np.int64)
+    closed = token >= 0
+    sizes = np.diff(offsets)
+    ends = offsets_of(sizes + closed)
+    out = np.empty(int(ends[-1]), np.int32)
+    out[ragged(ends[:-1], sizes)] = ids
+    out[ends[1:][closed] - 1] = token[closed]
+    return out, ends[np.array(rows)]
+
+
 def _with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(offsets) + 1
     ends = offsets_of(sizes)
@@ -77,10 +116,10 @@ def encode_sorted(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> Data
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
-        cache = _library_cache(tokenizer_file)
+        cache, added = _library_cache(tokenizer_file), _added(tokenizer_file)
         for whole in batches:
             for rows in pieces(whole, "text"):
-                ids, offsets = _with_end(*batch_ids(rows.column("text"), cache), end_id)
+                ids, offsets = _with_end(*text_ids(rows.column("text"), cache, added), end_id)
                 raw, cuts = ids.astype("<u4").tobytes(), (offsets * 4).tolist()
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
