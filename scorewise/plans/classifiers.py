@@ -6,8 +6,8 @@ All of them share one model table: prepared applicants -> one-hot -> z-scores
 only -> reliable checkpoint (fits read the training rows many times).  Each
 query makes the table itself: nothing is kept from one query to the next.
 Folds are drawn first and each training part is balanced on its own, so no
-synthetic row meets its parents across a fold.  The tree, forest and MLP grids
-are reduced; full grids are plain parameter lists and can be passed in.
+synthetic row meets its parents across a fold.  The grids and ensembles
+are those of the reference, over the axes that Spark has.
 """
 
 from __future__ import annotations
@@ -70,7 +70,9 @@ def _balanced(rows):
 
 
 def model_data(spark, sf) -> ModelData:
-    """Feature table of the model queries, materialised once per call."""
+    """Feature table of the model queries, materialised once per call (``sf`` may be one that is made already)."""
+    if isinstance(sf, ModelData):
+        return sf
     enc = encoded(spark, sf).filter(F.col("response").isNotNull())
     z = standardize(enc, STD_COLS, 2)
     feats = [c for c in z.columns if c not in DROP]
@@ -98,11 +100,15 @@ def dt_basic(spark, sf):
     return classify.fit_score(est, d.train, d.test, "decision_tree")[1]
 
 
+def _dt_points():
+    est = DecisionTreeClassifier(maxBins=64, seed=SEED, **TREE_OPTS)
+    return est, ParamGridBuilder().addGrid(est.maxDepth, [2, 8, 10]).addGrid(est.impurity, ["gini", "entropy"]).build()
+
+
 @query("dt_grid")
 def dt_grid(spark, sf):
     d = model_data(spark, sf)
-    est = DecisionTreeClassifier(maxBins=64, seed=SEED, **TREE_OPTS)
-    grid = ParamGridBuilder().addGrid(est.maxDepth, [2, 8]).addGrid(est.impurity, ["gini", "entropy"]).build()
+    est, grid = _dt_points()
     return classify.grid_search(est, grid, d.splits())
 
 
@@ -132,11 +138,15 @@ def logreg(spark, sf):
     return classify.fit_score(est, d.train, d.test, "logistic_regression")[1]
 
 
+def _logreg_points(n):
+    est = LogisticRegression(maxIter=100, elasticNetParam=0.0, standardization=False)
+    return est, ParamGridBuilder().addGrid(est.regParam, [_reg(c, n) for c in (0.01, 1.0, 10.0, 100.0)]).addGrid(est.maxIter, [100, 200]).build()
+
+
 @query("logreg_grid")
 def logreg_grid(spark, sf):
     d = model_data(spark, sf)
-    est = LogisticRegression(maxIter=100, elasticNetParam=0.0, standardization=False)
-    grid = ParamGridBuilder().addGrid(est.regParam, [_reg(c, d.n_train) for c in (0.01, 1.0, 10.0, 100.0)]).addGrid(est.maxIter, [100, 200]).build()
+    est, grid = _logreg_points(d.n_train)
     return classify.grid_search(est, grid, d.splits())
 
 
@@ -182,12 +192,15 @@ def gaussian_nb(spark, sf):
     return classify.metrics_row(bayes.predict(te, params, names), "gaussian_nb")
 
 
+SMOOTHINGS = (1e-9, 1e-5, 1e-3)
+
+
 @query("gaussian_nb_grid")
 def gaussian_nb_grid(spark, sf):
     """var_smoothing ∈ {1e-9, 1e-5, 1e-3}, judged on the folds' held-out rows."""
     d = model_data(spark, sf)
     names = [f"f{i}" for i in range(len(d.feats))]
-    points = [1e-9, 1e-5, 1e-3]
+    points = SMOOTHINGS
     accs = {s: [] for s in points}
     for train, held in d.splits():
         tr, te = _unpacked(train, d.feats), _unpacked(held, d.feats)
@@ -216,11 +229,16 @@ def random_forest(spark, sf):
     return classify.fit_score(est, d.train, d.test, "random_forest")[1]
 
 
+def _rf_points():
+    est = RandomForestClassifier(seed=SEED, **TREE_OPTS)
+    grid = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).addGrid(est.numTrees, [100, 200])
+    return est, grid.addGrid(est.featureSubsetStrategy, ["1", "3"]).addGrid(est.minInstancesPerNode, [1, 3]).build()
+
+
 @query("rf_grid")
 def rf_grid(spark, sf):
     d = model_data(spark, sf)
-    est = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS)
-    grid = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).addGrid(est.numTrees, [50, 100]).build()
+    est, grid = _rf_points()
     return classify.grid_search(est, grid, d.splits(FOREST_FOLDS))
 
 
@@ -246,7 +264,7 @@ def rf_importance_select(spark, sf):
 @query("bagging_rf")
 def bagging_rf(spark, sf):
     d = model_data(spark, sf)
-    return classify.metrics_row(ensemble.bagging(d.train, d.test, "key", n_bags=5, seed=SEED), "bagging_rf")
+    return classify.metrics_row(ensemble.bagging(d.train, d.test, "key", seed=SEED), "bagging_rf")
 
 
 @query("stacking_rf")
@@ -258,7 +276,7 @@ def stacking_rf(spark, sf):
 @query("adaboost_rf")
 def adaboost_rf(spark, sf):
     d = model_data(spark, sf)
-    return classify.metrics_row(ensemble.adaboost(d.train, d.test, "key", rounds=5, seed=SEED), "adaboost_rf")
+    return classify.metrics_row(ensemble.adaboost(d.train, d.test, "key", seed=SEED), "adaboost_rf")
 
 
 # --------------------------------------------------------------------------- MLP
@@ -270,17 +288,15 @@ def mlp(spark, sf):
     return classify.fit_score(est, d.train, d.test, "mlp")[1]
 
 
+def _mlp_points(p):
+    est = MultilayerPerceptronClassifier(seed=SEED)  # its solver has no step size to vary
+    return est, ParamGridBuilder().addGrid(est.layers, [[p, 10, 10, 2], [p, 20, 20, 2]]).addGrid(est.maxIter, [100, 200]).build()
+
+
 @query("mlp_grid")
 def mlp_grid(spark, sf):
     d = model_data(spark, sf)
-    p = len(d.feats)
-    est = MultilayerPerceptronClassifier(seed=SEED)  # its solver has no step size to vary
-    grid = (
-        ParamGridBuilder()
-        .addGrid(est.layers, [[p, 10, 10, 2], [p, 20, 20, 2]])
-        .addGrid(est.maxIter, [100, 200])
-        .build()
-    )
+    est, grid = _mlp_points(len(d.feats))
     return classify.grid_search(est, grid, d.splits())
 
 
@@ -321,13 +337,16 @@ def dt_ccp_curve(spark, sf):
 
 # --------------------------------------------------------------------------- KNN / SVM grids, leaderboard
 
+NEIGHBOURS = (2, 3, 4)
+
+
 @query("knn_grid")
 def knn_grid(spark, sf):
     """k ∈ {2, 3, 4} scored with the stratified folds (one k-NN join per fold at max k)."""
     from scorewise.operators import neighbors
 
     d = model_data(spark, sf)
-    ks = [2, 3, 4]
+    ks = list(NEIGHBOURS)
     accs = {k: [] for k in ks}
     for tr, va in d.splits():
         nn = neighbors.knn_join(va.select(F.col("key").alias("id"), "v"), tr.select(F.col("key").alias("id"), "v"), max(ks))
@@ -339,6 +358,19 @@ def knn_grid(spark, sf):
     return _table(spark, [(f"k={k}", sum(accs[k]) / len(accs[k])) for k in ks])
 
 
+KERNELS, GAMMAS, COSTS = ("rbf", "poly"), (1.0, 0.001), (0.1, 10.0)
+
+
+def _kernel(kernel, gamma, dim, rows):
+    """Rows whose features approximate the kernel."""
+    if kernel == "rbf":
+        return cut_lineage(classify.random_fourier_features(rows.drop("features"), "v", dim, 200, gamma, SEED))
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([gamma**0.5] * dim), inputCol="features", outputCol="_scaled")
+    expand = PolynomialExpansion(degree=3, inputCol="_scaled", outputCol="_poly")
+    # expanded rows are some thousand times their inputs: they are made anew for each fit, not written
+    return expand.transform(scale.transform(rows)).select("key", "label", F.col("_poly").alias("features"))
+
+
 @query("svm_grid")
 def svm_grid(spark, sf):
     """Kernel SVM grid: RBF (random Fourier features) and degree-3 polynomial kernels, γ ∈ {1, 0.001} × C ∈ {0.1, 10}.
@@ -347,19 +379,10 @@ def svm_grid(spark, sf):
     d = model_data(spark, sf)
     dim = len(d.feats)
     points = []
-    expand = PolynomialExpansion(degree=3, inputCol="_scaled", outputCol="_poly")
-
-    def mapped(kernel, gamma, rows):
-        if kernel == "rbf":
-            return cut_lineage(classify.random_fourier_features(rows.drop("features"), "v", dim, 200, gamma, SEED))
-        scale = ElementwiseProduct(scalingVec=Vectors.dense([gamma**0.5] * dim), inputCol="features", outputCol="_scaled")
-        # expanded rows are some thousand times their inputs: they are made anew for each fit, not written
-        return expand.transform(scale.transform(rows)).select("key", "label", F.col("_poly").alias("features"))
-
-    for kernel in ("rbf", "poly"):
-        for gamma in (1.0, 0.001):
-            splits = [(mapped(kernel, gamma, train), mapped(kernel, gamma, held)) for train, held in d.splits()]
-            for c in (0.1, 10.0):
+    for kernel in KERNELS:
+        for gamma in GAMMAS:
+            splits = [(_kernel(kernel, gamma, dim, train), _kernel(kernel, gamma, dim, held)) for train, held in d.splits()]
+            for c in COSTS:
                 accs = classify.k_fold(LinearSVC(maxIter=100, regParam=_reg(c, d.n_train), standardization=False), splits)
                 points.append((f"kernel={kernel}, gamma={gamma}, C={c}", sum(accs) / len(accs)))
     return _table(spark, points)
@@ -368,25 +391,80 @@ def svm_grid(spark, sf):
 @query("knn_model")
 def knn_model(spark, sf):
     """KNN (k = 3, the reference's final choice) on the applicant features; score = share of class-1 votes."""
+    return _knn(model_data(spark, sf), 3, "knn")
+
+
+def _knn(d, k, name):
     from scorewise.operators import neighbors
 
-    d = model_data(spark, sf)
-    k = 3
     nn = neighbors.knn_join(d.test.select("id", "v"), d.train.select(F.col("key").alias("id"), "v"), k)
     labels = d.train.select(F.col("key").alias("nid"), F.col("label").alias("_nl"))
     votes = nn.join(labels, "nid").groupBy("qid").agg(F.avg("_nl").alias("score"))
     pred = votes.join(d.test.select(F.col("id").alias("qid"), "label"), "qid").withColumn(
         "prediction", (F.col("score") > 0.5).cast("double")
     )
-    return classify.metrics_row(pred, "knn")
+    return classify.metrics_row(pred, name)
+
+
+def _best(table) -> int:
+    return table.filter("is_best").first()["point"]
+
+
+def _tuned(d, name, est, grid, folds=CV_FOLDS):
+    """The grid's best point, fitted to all training rows."""
+    best = grid[_best(classify.grid_search(est, grid, d.splits(folds)))]
+    return classify.fit_score(est.copy(best), d.train, d.test, name)[1]
+
+
+def _tuned_svm(spark, d):
+    kernel, gamma, c = [(k, g, c) for k in KERNELS for g in GAMMAS for c in COSTS][_best(svm_grid(spark, d))]
+    train, test = (_kernel(kernel, gamma, len(d.feats), rows) for rows in (d.train, d.test))
+    est = LinearSVC(maxIter=100, regParam=_reg(c, d.n_train), standardization=False)
+    return classify.fit_score(est, train, test, "svm_after_grid")[1]
+
+
+def _tuned_nb(spark, d):
+    names = [f"f{i}" for i in range(len(d.feats))]
+    params = bayes.fit_params(_unpacked(d.train, d.feats), "label", names, SMOOTHINGS[_best(gaussian_nb_grid(spark, d))])
+    return classify.metrics_row(bayes.predict(_unpacked(d.test, d.feats), params, names), "gaussian_nb_after_grid")
+
+
+def _post_pruned(spark, d):
+    """The pruned subtree of the best test accuracy (first on ties), as the reference chooses it."""
+    from scorewise.operators import prune
+
+    model = DecisionTreeClassifier(impurity="gini", maxDepth=30, maxBins=64, seed=SEED, **TREE_OPTS).fit(d.train)
+    nodes, gone = prune.load_nodes(spark, model), []
+    path = prune.pruning_path(nodes, {"test": prune.leaf_label_counts(model, d.test)}, gone)
+    best = max(path, key=lambda r: (r[4]["test"], -r[0]))[0]
+    return classify.metrics_row(prune.predict(spark, model, nodes, set(gone[:best]), d.test), "decision_tree_post_pruned")
 
 
 @query("model_leaderboard")
 def model_leaderboard(spark, sf):
-    """E8 over fitted models: one metrics row per classifier on the same test split."""
-    parts = [dt_basic, logreg, knn_model, linear_svm, gaussian_nb, random_forest, mlp]
-    out = None
-    for fn in parts:
-        row = fn(spark, sf)
-        out = row if out is None else out.unionByName(row)
+    """E8 over fitted models: the 18 rows of the reference's table, all on the same test split."""
+    d = model_data(spark, sf)
+    rows = [
+        dt_basic(spark, d),
+        _tuned(d, "decision_tree_pre_pruned", *_dt_points()),
+        _post_pruned(spark, d),
+        logreg(spark, d),
+        _tuned(d, "logistic_regression_after_grid", *_logreg_points(d.n_train)),
+        _knn(d, 2, "knn"),
+        _knn(d, NEIGHBOURS[_best(knn_grid(spark, d))], "knn_after_grid"),
+        linear_svm(spark, d),
+        _tuned_svm(spark, d),
+        gaussian_nb(spark, d),
+        _tuned_nb(spark, d),
+        random_forest(spark, d),
+        _tuned(d, "random_forest_after_grid", *_rf_points(), FOREST_FOLDS),
+        bagging_rf(spark, d),
+        adaboost_rf(spark, d),
+        stacking_rf(spark, d),
+        mlp(spark, d),
+        _tuned(d, "mlp_after_grid", *_mlp_points(len(d.feats))),
+    ]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
     return out
