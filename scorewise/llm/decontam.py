@@ -1,6 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become sequences of words (lower case, ASCII punctuation separates).
+Texts become sequences of words (lower case; ASCII but letters and digits, and
+Unicode punctuation and spaces, separate).  In scripts that don't put spaces
+between words (``UNSPACED``) each code point is a word of its own.
 Karp-Rabin hashes of ``MIN_TILE`` successive words seed the comparison: a
 document meets a benchmark item only if they share a seed.  Each such pair is
 tiled: seeds are extended to maximal matches, the longest match of words that
@@ -21,7 +23,10 @@ itself; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import sys
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,13 +38,47 @@ from pyspark.sql import functions as F
 
 from scorewise.llm import minhash
 from scorewise.llm.common import offsets_of, pieces, table, utf8
+from scorewise.llm.pretoken import WHITE_SPACE
 
 MIN_TILE = 5
 SHARE = 0.5
 BLOCK_BYTES = 16_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_PLAIN = np.full(256, 0x20, np.uint8)
-_PLAIN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
+#: Code points [from, to] of scripts without spaces between words.
+UNSPACED = (
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),  # Thai to Myanmar, Khmer, Tai, Balinese
+    (0x2E80, 0x2FDF), (0x3000, 0x312F), (0x3190, 0x4DBF), (0x4E00, 0xA4CF), (0xF900, 0xFAFF),  # Han, kana, Bopomofo, Yi
+    (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+SEPARATOR, PART, ALONE = range(3)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Whether a code point separates words, is a part of one or is one."""
+    kinds = np.full(sys.maxunicode + 1, PART, np.uint8)
+    for lo, hi in UNSPACED:
+        kinds[lo : hi + 1] = ALONE
+    for cp in range(128, sys.maxunicode + 1):
+        if unicodedata.category(chr(cp))[0] in "PZ":
+            kinds[cp] = SEPARATOR
+    kinds[[*WHITE_SPACE, 0x200B, 0xFEFF]] = SEPARATOR
+    kinds[:128] = SEPARATOR
+    kinds[[*range(48, 58), *range(97, 123)]] = PART
+    return kinds
+
+
+def _bounds(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the words of UTF-8 rows, and each word's row."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    kind = _kinds()[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+    first = np.zeros(len(at), bool)
+    first[np.searchsorted(at, rows[:-1][np.diff(rows) > 0])] = True
+    before = np.append(np.uint8(SEPARATOR), kind[:-1])[: len(kind)]
+    starts = (kind != SEPARATOR) & (first | (before != PART) | (kind == ALONE))
+    ends = (kind != SEPARATOR) & np.append((starts | (kind == SEPARATOR))[1:], True)[: len(kind)]
+    start = at[starts]
+    return start, np.append(at, len(data))[np.flatnonzero(ends) + 1], np.searchsorted(rows, start, side="right") - 1
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +86,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     data, rows = utf8(pc.utf8_lower(column))
-    data = _PLAIN[data]
-    start, end, row = minhash.word_bounds(data, rows)
+    start, end, row = _bounds(data, rows)
     return minhash.word_hashes(data, start, end), offsets_of(np.bincount(row, minlength=len(rows) - 1))
 
 
