@@ -13,6 +13,7 @@ from scorewise.llm.embed_dups import op10_cross_polytope
 from scorewise.llm.idcodec import op3_token_files
 from scorewise.llm.minhash import op8_minhash_groups
 from scorewise.llm.quality import op4_quality
+from scorewise.llm.repair import OP12_SQL, op12_cyk_repair
 from scorewise.llm.shards import op5_uniform_shards
 from scorewise.llm.suffix_dups import op1_suffix_repeats
 from scorewise.llm.warc import op7_warc_derivatives
@@ -30,10 +31,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_groups": op8_minhash_groups,
         "op10_cross_polytope": op10_cross_polytope,
         "op9_chat_format": op9_chat_format,
+        "op12_cyk_repair": op12_cyk_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_chat_format": OP9_SQL,
+        "op12_cyk_repair": OP12_SQL,
     }
