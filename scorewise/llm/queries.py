@@ -16,6 +16,7 @@ from scorewise.llm.quality import op4_quality
 from scorewise.llm.repair import OP12_SQL, op12_cyk_repair
 from scorewise.llm.shards import op5_uniform_shards
 from scorewise.llm.suffix_dups import op1_suffix_repeats
+from scorewise.llm.trie import OP13_SQL, op13_centroid_trie
 from scorewise.llm.warc import op7_warc_derivatives
 
 
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_cross_polytope": op10_cross_polytope,
         "op9_chat_format": op9_chat_format,
         "op12_cyk_repair": op12_cyk_repair,
+        "op13_centroid_trie": op13_centroid_trie,
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op9_chat_format": OP9_SQL,
         "op12_cyk_repair": OP12_SQL,
+        "op13_centroid_trie": OP13_SQL,
     }
