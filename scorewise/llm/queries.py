@@ -11,6 +11,7 @@ from scorewise.llm.chat import OP9_SQL, op9_chat_format
 from scorewise.llm.decontam import op6_string_tiling
 from scorewise.llm.embed_dups import op10_cross_polytope
 from scorewise.llm.idcodec import op3_token_files
+from scorewise.llm.licenses import OP11_SQL, op11_license_blocks
 from scorewise.llm.minhash import op8_minhash_groups
 from scorewise.llm.quality import op4_quality
 from scorewise.llm.repair import OP12_SQL, op12_cyk_repair
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_groups": op8_minhash_groups,
         "op10_cross_polytope": op10_cross_polytope,
         "op9_chat_format": op9_chat_format,
+        "op11_license_blocks": op11_license_blocks,
         "op12_cyk_repair": op12_cyk_repair,
         "op13_centroid_trie": op13_centroid_trie,
     }
@@ -40,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_chat_format": OP9_SQL,
+        "op11_license_blocks": OP11_SQL,
         "op12_cyk_repair": OP12_SQL,
         "op13_centroid_trie": OP13_SQL,
     }
