@@ -209,17 +209,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_cl
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], out: str = "score") -> DataFrame:
-    """The ``keep`` columns of ``docs`` and the score as ``out``: one row per text."""
-    taken = docs.select(*keep, F.col("text").alias("_scored_text"))
+    """The ``keep`` columns of ``docs`` and the score as ``out``: one row per text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in pieces(whole, "_scored_text"):
-                scores = model.scores(*indicators(part.column("_scored_text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(scores)], [*keep, out])
+    Only the texts go to Python and only the scores come back; Spark keeps the other columns.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        found = [model.scores(*indicators(part.column("text"))) for part in pieces(batch, "text")]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    schema = docs.select(*keep).schema.add(out, "double")
-    return taken.mapInArrow(run, schema)
+    scored = F.arrow_udf(run, "double")
+    return docs.select(*keep, scored(F.col("text")).alias(out))
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
