@@ -27,7 +27,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,28 +35,147 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorewise.llm.bpe import PieceCache, batch_ids
-from scorewise.llm.common import list_column, list_pieces, offsets_of, pieces, ragged, release, scratch, staged, table
+from scorewise.llm.bpe import slice_hashes
+from scorewise.llm.common import list_column, list_pieces, offsets_of, pieces, ragged, release, scratch, staged, table, utf8
+from scorewise.llm.pretoken import piece_bounds
 
 MAX_BITS = 18
 STEP = 256
 BLOCK_IDS = 1 << 16
-#: Pieces kept by each worker: the library is slower than a larger cache.
-CACHE_PIECES = 220_000
+#: Slots of a worker's table of pieces; half of them are used at most, then it begins anew.
+SLOTS = 1 << 22
 
 
-@functools.cache
-def _library_cache(path: str) -> PieceCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Pieces:
+    """Piece -> ids of the library, for whole arrays of pieces at once.
+
+    A table with open addressing holds the pieces' 64-bit hashes; a hit is
+    compared with the piece byte by byte.  Distinct pieces that aren't there yet
+    go to the library in one text: it is put together so that the library cuts it
+    where the pieces end, which is checked by the lengths of the ids' tokens.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, slots: int = SLOTS) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.token_bytes[number] = len(token)  # one character stands for one byte
+        self.slots, self.mask = slots, np.uint64(slots - 1)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.entry = np.full(self.slots, -1, np.int32)
+        self.n = self.n_ids = self.n_bytes = 0
+        self.id_at, self.byte_at = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # of entry i: from place i to place i + 1
+        self.ids, self.bytes = np.zeros(4096, np.int32), np.zeros(4096, np.uint8)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        slot = (h & self.mask).astype(np.int64)
+        out = self.entry[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (self.slots - 1)
+            out[open_] = self.entry[slot[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[slot[open_]] != h[open_])]
+        return out
+
+    def _add(self, h: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """New pieces: distinct hashes that aren't in the table."""
+        ids, counts = self._encode([data[a : a + k].tobytes() for a, k in zip(begin.tolist(), size.tolist())])
+        self.id_at = _grown(self.id_at, self.n + 1, self.n_ids + np.cumsum(counts))
+        self.byte_at = _grown(self.byte_at, self.n + 1, self.n_bytes + np.cumsum(size))
+        self.ids = _grown(self.ids, self.n_ids, ids)
+        self.bytes = _grown(self.bytes, self.n_bytes, data[ragged(begin, size)])
+        number = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n, self.n_ids, self.n_bytes = self.n + len(h), self.n_ids + len(ids), self.n_bytes + int(size.sum())
+        slot = (h & self.mask).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.entry[slot[left]] < 0]
+            self.entry[slot[free]] = number[free]  # of several that want a slot, the last one has it
+            mine = free[self.entry[slot[free]] == number[free]]
+            self.keys[slot[mine]] = h[mine]
+            left = left[self.entry[slot[left]] != number[left]]
+            slot[left] = (slot[left] + 1) & (self.slots - 1)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of pieces, and how many each has."""
+        led, bare, alone = [], [], []
+        for i, w in enumerate(words):
+            if w[0] == 32 and len(w) > 1 and w[1] not in b" \t\n\x0b\x0c\r":
+                led.append(i)
+            elif w.isspace() or (w[0] >= 0xC2 and w.decode().isspace()):
+                alone.append(i)
+            else:
+                bare.append(i)
+        # a line feed before something else is a piece, and so is what a blank leads
+        text = b"\n".join([words[i] for i in bare]) + b"".join([words[i] for i in led])
+        found: list[np.ndarray | None] = [None] * len(words)
+        if text:
+            ids = self._library([text])[0]
+            ends = np.cumsum(self.token_bytes[ids])
+            sizes = np.array([len(words[i]) for i in bare + led], np.int64)
+            apart = np.zeros(len(sizes), np.int64)
+            apart[: max(0, len(bare) - 1)] = 1
+            stop = np.cumsum(sizes + apart) - apart
+            first, last = np.searchsorted(ends, stop - sizes, side="right"), np.searchsorted(ends, stop, side="left")
+            if (ends[np.minimum(last, len(ends) - 1)] == stop).all() and (np.append(0, ends)[first] == stop - sizes).all():
+                for i, a, b in zip(bare + led, first.tolist(), (last + 1).tolist()):
+                    found[i] = ids[a:b]
+            else:
+                alone += bare + led
+        for i, ids in zip(alone, self._library([words[i] for i in alone])):
+            found[i] = ids
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def _library(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def batch_ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, and the offsets of each row's ids."""
+        data, rows = utf8(column)
+        bounds, before = piece_bounds(data, rows)
+        if len(bounds) == 1:
+            return np.zeros(0, np.int32), np.zeros(len(rows), np.int64)
+        begin, size = bounds[:-1], np.diff(bounds)
+        h = slice_hashes(data, bounds)
+        which = self._find(h)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            _, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            if 2 * (self.n + len(first)) > self.slots:
+                self._clear()
+                _, first = np.unique(h, return_index=True)
+            if 2 * len(first) <= self.slots:
+                self._add(h[first], data, begin[first], size[first])
+            which = self._find(h)
+        same = (which >= 0).all() and (self.byte_at[which + 1] - self.byte_at[which] == size).all()
+        if not same or not np.array_equal(data[bounds[0] : bounds[-1]], self.bytes[ragged(self.byte_at[which], size)]):
+            # two pieces share a hash, or a batch has more pieces than the table holds
+            ids, counts = self._encode([data[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+            return ids, offsets_of(counts)[before]
+        counts = self.id_at[which + 1] - self.id_at[which]
+        return self.ids[ragged(self.id_at[which], counts)], offsets_of(counts)[before]
+
+
+def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` after its first ``used`` places; its length doubles as needed."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.zeros(max(used, len(more)) + len(more), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
 
-    def encode(words: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [array("i", x.ids).tobytes() for x in found]
 
-    return PieceCache(encode, CACHE_PIECES)
+@functools.cache
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 @functools.cache
@@ -71,10 +189,10 @@ def _added(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in sorted(tokens, key=lambda t: -len(t["content"]))}
 
 
-def text_ids(column: pa.Array, cache: PieceCache, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def text_ids(column: pa.Array, known: Pieces, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, and the offsets of each row's ids; texts are cut at added tokens before they become pieces."""
     if not any(pc.any(pc.match_substring(column, token)).as_py() for token in added):
-        return batch_ids(column, cache)
+        return known.batch_ids(column)
     cut = re.compile("(" + "|".join(map(re.escape, added)) + ")")
     spans, after, rows = [], [], [0]
     for text in column.to_pylist():
@@ -83,7 +201,7 @@ def text_ids(column: pa.Array, cache: PieceCache, added: dict[str, int]) -> tupl
         after += [added[token] for token in found[1::2]]
         after.append(-1)
         rows.append(len(spans))
-    ids, offsets = batch_ids(pa.array(spans, column.type), cache)
+    ids, offsets = known.batch_ids(pa.array(spans, column.type))
     token = np.array(after, np.int64)
     closed = token >= 0
     sizes = np.diff(offsets)
@@ -116,10 +234,10 @@ def encode_sorted(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> Data
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
-        cache, added = _library_cache(tokenizer_file), _added(tokenizer_file)
+        known, added = _pieces(tokenizer_file), _added(tokenizer_file)
         for whole in batches:
             for rows in pieces(whole, "text"):
-                ids, offsets = _with_end(*text_ids(rows.column("text"), cache, added), end_id)
+                ids, offsets = _with_end(*text_ids(rows.column("text"), known, added), end_id)
                 raw, cuts = ids.astype("<u4").tobytes(), (offsets * 4).tolist()
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(

@@ -243,3 +243,26 @@ def test_licenses_against_hand(spark, odd_docs):
             score = 1.0 if base else max((x[4] for x in near), default=0.0)
             wanted.append((d["id"], len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, sorted(near)))
         assert found == sorted(wanted, key=repr)
+
+
+def test_piece_table(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from scorewise.llm import idcodec
+
+    rnd = random.Random(12)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    parts = [" the", "the", "'s", "\n", "  ", "\t", " don't", " ", "　", "日本", "é", " É", "123", " 9", "!?", " -", "x" * 70, "\x1c", "\u0085", "<|", "|>"]
+    texts = [None, "", " ", "\n\n x", "a  b"] + ["".join(rnd.choices(parts, k=rnd.randint(1, 60))) for _ in range(300)]
+    column = pa.array(texts, pa.string())
+    for slots, bits in ((1 << 12, 64), (16, 64), (1 << 12, 3)):
+        known = idcodec.Pieces(path, slots)
+        true = idcodec.slice_hashes
+        monkeypatch.setattr(idcodec, "slice_hashes", lambda d, b: true(d, b) >> np.uint64(64 - bits))
+        for _ in range(2):
+            ids, at = known.batch_ids(column)
+            for i, text in enumerate(texts):
+                assert ids[at[i] : at[i + 1]].tolist() == known.library.encode(text or "", add_special_tokens=False).ids
+        monkeypatch.setattr(idcodec, "slice_hashes", true)
