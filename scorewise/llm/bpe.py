@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewise.llm.common import list_column, list_pieces, mix64, offsets_of, pieces, ragged, utf8
+from scorewise.llm.common import free_name, list_column, list_pieces, mix64, offsets_of, pieces, ragged, utf8
 from scorewise.llm.pretoken import piece_bounds
 
 #: Pieces kept by each worker's cache, and the longest piece (bytes) merged side by side.
@@ -208,74 +208,95 @@ def slice_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(batches: Batches, rank_file: str) -> Batches:
+    """(id, ids, starts) of (id, text)."""
+    known, cache = ranks(rank_file), _cache(rank_file)
+    for whole in batches:
+        for part in pieces(whole, whole.schema.names[1]):
+            ids, offsets = batch_ids(part.column(1), cache)
+            sizes = known.sizes[ids]
+            ends = offsets_of(sizes)
+            starts = ends[:-1] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([part.column(0), list_column(ids.astype(np.int32), offsets), list_column(starts.astype(np.int32), offsets)], [part.schema.names[0], "ids", "starts"])
+
+
+def _decoded(batches: Batches, rank_file: str) -> Batches:
+    """(id, ids, bytes) of (id, ids and more)."""
+    known = ranks(rank_file)
+    for batch in (part for whole in batches for part in list_pieces(whole, "ids")):
+        column = batch.column("ids")
+        ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = known.sizes[ids]
+        data = known.bytes[ragged(known.at[ids], sizes)]
+        ends = offsets_of(sizes)[offsets_of(counts)]
+        raw = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), column, raw], [batch.schema.names[0], "ids", "bytes"])
+
+
+def _digested(batches: Batches) -> Batches:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of (id, ids, bytes)."""
+    for batch in (part for whole in batches for part in list_pieces(whole, "ids")):
+        column = batch.column("ids")
+        ids = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = (offsets_of(counts) * 4).tolist()
+        hashed = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
+        texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("bytes")]
+        names = [batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(hashed, pa.string()), pa.array(texts, pa.string())], names)
+
+
+_IDS = T.ArrayType(T.IntegerType())
+_DIGESTS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+
+
+def _schema(rows: DataFrame, id_col: str, more: list[tuple[str, T.DataType]]) -> T.StructType:
+    return T.StructType([rows.select(id_col).schema[0], *(T.StructField(n, t) for n, t in more)])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(id_col, F.col(text_col).cast("string").alias(free_name("text", [id_col])))
+
+
 def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, starts array<int>): each id and the byte at which it starts."""
-    schema = T.StructType(
-        [docs.select(id_col).schema[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType()))]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cache = ranks(rank_file), _cache(rank_file)
-        for whole in batches:
-            for part in pieces(whole, "text"):
-                ids, offsets = batch_ids(part.column("text"), cache)
-                sizes = known.sizes[ids]
-                ends = offsets_of(sizes)
-                starts = ends[:-1] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), list_column(ids.astype(np.int32), offsets), list_column(starts.astype(np.int32), offsets)], [id_col, "ids", "starts"]
-                )
-
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    if id_col == "text":
-        raise ValueError("the id column must not be called text")
-    return rows.mapInArrow(run, schema)
+
+    def run(batches: Batches) -> Batches:
+        return _encoded(batches, rank_file)
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, _schema(docs, id_col, [("ids", _IDS), ("starts", _IDS)]))
 
 
 def decode(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", span: tuple[int, int] | None = None) -> DataFrame:
     """(id, ids, bytes binary): the text's bytes again, or only of the ids that start in ``span`` bytes."""
-    schema = T.StructType(
-        [encoded.select(id_col).schema[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())]
-    )
     rows = encoded.select(id_col, "ids", "starts")
     if span is not None:
         lo, hi = span
         inside = F.filter(F.arrays_zip("ids", "starts"), lambda x: (x["starts"] >= lo) & (x["starts"] < hi))
         rows = rows.select(id_col, inside.getField("ids").alias("ids"))
-    rows = rows.select(id_col, "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks(rank_file)
-        for batch in (part for whole in batches for part in list_pieces(whole, "ids")):
-            column = batch.column("ids")
-            ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = known.sizes[ids]
-            data = known.bytes[ragged(known.at[ids], sizes)]
-            ends = offsets_of(sizes)[offsets_of(counts)]
-            raw = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, raw], [id_col, "ids", "bytes"])
 
-    return rows.mapInArrow(run, schema)
+    def run(batches: Batches) -> Batches:
+        return _decoded(batches, rank_file)
+
+    return rows.select(id_col, "ids").mapInArrow(run, _schema(encoded, id_col, [("ids", _IDS), ("bytes", T.BinaryType())]))
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of decoded rows."""
-    schema = T.StructType(
-        [decoded.select(id_col).schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    )
+    return decoded.select(id_col, "ids", "bytes").mapInArrow(_digested, _schema(decoded, id_col, _DIGESTS))
+
+
+def round_trip(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``digests(decode(encode(docs)))``, in one map: a task needs one Python worker, and no ids go through the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in list_pieces(whole, "ids")):
-            column = batch.column("ids")
-            ids = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts = (offsets_of(counts) * 4).tolist()
-            hashed = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
-            texts = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("bytes")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(hashed, pa.string()), pa.array(texts, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches: Batches) -> Batches:
+        return _digested(_decoded(_encoded(batches, rank_file), rank_file))
 
-    return decoded.select(id_col, "ids", "bytes").mapInArrow(run, schema)
+    return _texts(docs, id_col, text_col).mapInArrow(run, _schema(docs, id_col, _DIGESTS))
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
@@ -284,5 +305,4 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from scorewise.llm.common import table
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(table(spark, sf_dir, "documents"), path)
-    return digests(decode(encoded, path))
+    return round_trip(table(spark, sf_dir, "documents"), path)

@@ -266,3 +266,16 @@ def test_piece_table(monkeypatch):
             for i, text in enumerate(texts):
                 assert ids[at[i] : at[i + 1]].tolist() == known.library.encode(text or "", add_special_tokens=False).ids
         monkeypatch.setattr(idcodec, "slice_hashes", true)
+
+
+def test_round_trip_in_one_map(spark, odd_docs):
+    import public_tokenizers
+
+    from scorewise.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    apart = bpe.digests(bpe.decode(bpe.encode(odd_docs, path), path)).collect()
+    assert sorted(apart, key=repr) == sorted(bpe.round_trip(odd_docs, path).collect(), key=repr)
+    named = odd_docs.select(F.col("doc_id").alias("text"), F.col("text").alias("body"))
+    got = bpe.round_trip(named, path, "text", "body").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted((tuple(r) for r in apart), key=repr)
