@@ -54,8 +54,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids, encoded and decoded, as digests."""
     ship_package(spark)
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES = [
