@@ -12,6 +12,8 @@ are those of the reference, over the axes that Spark has.
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
@@ -359,15 +361,18 @@ def knn_grid(spark, sf):
 
 
 KERNELS, GAMMAS, COSTS = ("rbf", "poly"), (1.0, 0.001), (0.1, 10.0)
+#: Width of the sketch of the polynomial kernel.
+SKETCH = 1024
 
 
 def _kernel(kernel, gamma, dim, rows):
-    """Rows whose features approximate the kernel."""
+    """Rows whose features approximate the kernel, written once for all costs."""
     if kernel == "rbf":
         return cut_lineage(classify.random_fourier_features(rows.drop("features"), "v", dim, 200, gamma, SEED))
+    if comb(dim + 3, 3) - 1 > SKETCH:  # more monomials than the sketch is wide
+        return cut_lineage(classify.tensor_sketch(rows.select("key", "label", "v"), "v", dim, 3, SKETCH, gamma, SEED))
     scale = ElementwiseProduct(scalingVec=Vectors.dense([gamma**0.5] * dim), inputCol="features", outputCol="_scaled")
     expand = PolynomialExpansion(degree=3, inputCol="_scaled", outputCol="_poly")
-    # expanded rows are some thousand times their inputs: they are made anew for each fit, not written
     return expand.transform(scale.transform(rows)).select("key", "label", F.col("_poly").alias("features"))
 
 
@@ -375,7 +380,7 @@ def _kernel(kernel, gamma, dim, rows):
 def svm_grid(spark, sf):
     """Kernel SVM grid: RBF (random Fourier features) and degree-3 polynomial kernels, γ ∈ {1, 0.001} × C ∈ {0.1, 10}.
 
-    The polynomial kernel takes γ as a scale of the inputs (its square root each)."""
+    The polynomial kernel is a tensor sketch, or all monomials where there are fewer of them than the sketch is wide."""
     d = model_data(spark, sf)
     dim = len(d.feats)
     points = []
