@@ -43,7 +43,9 @@ MAX_BITS = 18
 STEP = 256
 BLOCK_IDS = 1 << 16
 #: Slots of a worker's table of pieces; half of them are used at most, then it begins anew.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
+#: Bytes of text that are worked on at a time.
+TEXT_BYTES = 700_000
 
 
 class Pieces:
@@ -236,7 +238,7 @@ def encode_sorted(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> Data
         part, at = TaskContext.get().partitionId(), 0
         known, added = _pieces(tokenizer_file), _added(tokenizer_file)
         for whole in batches:
-            for rows in pieces(whole, "text"):
+            for rows in pieces(whole, "text", TEXT_BYTES):
                 ids, offsets = _with_end(*text_ids(rows.column("text"), known, added), end_id)
                 raw, cuts = ids.astype("<u4").tobytes(), (offsets * 4).tolist()
                 n = np.diff(offsets)
