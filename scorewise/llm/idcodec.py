@@ -43,9 +43,9 @@ MAX_BITS = 18
 STEP = 256
 BLOCK_IDS = 1 << 16
 #: Slots of a worker's table of pieces; half of them are used at most, then it begins anew.
-SLOTS = 1 << 21
+SLOTS = 1 << 22
 #: Bytes of text that are worked on at a time.
-TEXT_BYTES = 700_000
+TEXT_BYTES = 1_000_000
 
 
 class Pieces:
@@ -73,8 +73,9 @@ class Pieces:
         self.keys = np.zeros(self.slots, np.uint64)
         self.entry = np.full(self.slots, -1, np.int32)
         self.n = self.n_ids = self.n_bytes = 0
-        self.id_at, self.byte_at = np.zeros(1024, np.int64), np.zeros(1024, np.int64)  # of entry i: from place i to place i + 1
-        self.ids, self.bytes = np.zeros(4096, np.int32), np.zeros(4096, np.uint8)
+        self.id_at, self.byte_at = np.zeros(1024, np.int32), np.zeros(1024, np.int32)  # of entry i: from place i to place i + 1
+        narrow = len(self.token_bytes) <= 1 << 16
+        self.ids, self.bytes = np.zeros(4096, np.uint16 if narrow else np.int32), np.zeros(4096, np.uint8)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, or -1."""
@@ -152,10 +153,10 @@ class Pieces:
         if len(new):
             _, first = np.unique(h[new], return_index=True)
             first = new[first]
-            if 2 * (self.n + len(first)) > self.slots:
+            if 2 * (self.n + len(first)) > self.slots or self.n_bytes + len(data) >= 1 << 31:
                 self._clear()
                 _, first = np.unique(h, return_index=True)
-            if 2 * len(first) <= self.slots:
+            if 2 * len(first) <= self.slots and self.n_bytes + len(data) < 1 << 31:
                 self._add(h[first], data, begin[first], size[first])
             which = self._find(h)
         same = (which >= 0).all() and (self.byte_at[which + 1] - self.byte_at[which] == size).all()
@@ -163,14 +164,16 @@ class Pieces:
             # two pieces share a hash, or a batch has more pieces than the table holds
             ids, counts = self._encode([data[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
             return ids, offsets_of(counts)[before]
-        counts = self.id_at[which + 1] - self.id_at[which]
-        return self.ids[ragged(self.id_at[which], counts)], offsets_of(counts)[before]
+        counts = (self.id_at[which + 1] - self.id_at[which]).astype(np.int64)
+        return self.ids[ragged(self.id_at[which], counts)].astype(np.int32), offsets_of(counts)[before]
 
 
 def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     """``array`` with ``more`` after its first ``used`` places; its length doubles as needed."""
     if used + len(more) > len(array):
-        array = np.concatenate([array[:used], np.zeros(max(used, len(more)) + len(more), array.dtype)])
+        wider = np.zeros(2 * (used + len(more)), array.dtype)  # memory that isn't used yet isn't taken
+        wider[:used] = array[:used]
+        array = wider
     array[used : used + len(more)] = more
     return array
 
