@@ -6,7 +6,7 @@ attached as a one-row broadcast, so the transform itself stays a projection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewise.functions.scalar import round_even
@@ -59,6 +59,27 @@ def one_hot(
     return df.select(*keep, *dummies)
 
 
+def indicators(df: DataFrame, names: list[str]) -> list[Column]:
+    """Columns for features picked by name, without a pass over the data.
+
+    A name is a column of ``df`` or ``<column>_<value>``, the int indicator of
+    that value (the longest column name that fits counts); null gives 0, and so
+    does a value that never occurs.
+    """
+    out = []
+    for name in names:
+        if name in df.columns:
+            out.append(F.col(f"`{name}`"))
+            continue
+        fits = [c for c in df.columns if name.startswith(c + "_")]
+        if not fits:
+            raise ValueError(f"no column for feature {name}")
+        col = max(fits, key=len)
+        hit = F.col(f"`{col}`").cast("string") == F.lit(name[len(col) + 1 :])
+        out.append(F.when(hit, F.lit(1)).otherwise(F.lit(0)).alias(name))
+    return out
+
+
 def standardize(df: DataFrame, cols: list[str], scale: int | None = 2) -> DataFrame:
     """Z-score with the sample standard deviation, rounded half-even (``scale``)."""
     stats = df.agg(

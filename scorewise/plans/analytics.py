@@ -9,24 +9,27 @@ from scorewise.operators import encode, evaluate, linalg, mine, ordinal
 from scorewise.plans.duck import PREP_CTE, with_fx
 from scorewise.plans.registry import query
 from scorewise.plans.relational import fx_reg, prepared
-from scorewise.sources.fixtures import fixture
-
-# The level sets of the fixture's categorical columns (the driver
-# tables' market segments and region names; nation names follow NATION_<i>).
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-NATIONS = sorted(f"NATION_{i}" for i in range(25))
+from scorewise.sources.fixtures import (
+    APP_COLUMNS,
+    EDUCATION_TYPES,
+    FAMILY_STATUSES,
+    HOUSING_TYPES,
+    INCOME_TYPES,
+    OCCUPATIONS,
+    fixture,
+)
 
 ENCODED = {
     "CODE_GENDER": ["F", "M"],
     "FLAG_OWN_CAR": ["N", "Y"],
     "FLAG_OWN_REALTY": ["N", "Y"],
-    "NAME_INCOME_TYPE": SEGMENTS,
-    "NAME_EDUCATION_TYPE": REGIONS,
-    "OCCUPATION_TYPE": NATIONS,
+    "NAME_INCOME_TYPE": INCOME_TYPES,
+    "NAME_EDUCATION_TYPE": EDUCATION_TYPES,
+    "NAME_FAMILY_STATUS": FAMILY_STATUSES,
+    "NAME_HOUSING_TYPE": HOUSING_TYPES,
+    "OCCUPATION_TYPE": OCCUPATIONS,
 }
-PLAIN = ["ROW_NO", "ID", "CNT_CHILDREN", "AMT_INCOME_TOTAL", "DAYS_EMPLOYED", "FLAG_WORK_PHONE",
-         "CNT_FAM_MEMBERS", "MONTHS_BALANCE", "STATUS", "response"]
+PLAIN = [*(c for c in APP_COLUMNS if c not in ENCODED), "MONTHS_BALANCE", "STATUS", "response"]
 STD_COLS = ["AMT_INCOME_TOTAL", "DAYS_EMPLOYED", "CNT_FAM_MEMBERS", "MONTHS_BALANCE"]
 REG_SEED = 5808
 
@@ -111,7 +114,7 @@ def components_for_90pct(spark, sf):
 def _model_matrix(spark, sf):
     """Encoded applicant features (dummies + numeric), the matrix the reference analyses."""
     enc = encoded(spark, sf)
-    feats = [c for c in enc.columns if c not in ("ROW_NO", "ID", "STATUS", "response", "CNT_CHILDREN")]
+    feats = [c for c in enc.columns if c not in ("ROW_NO", "ID", "STATUS", "response", "CNT_CHILDREN", "FLAG_MOBIL", "DAYS_BIRTH")]
     return enc, feats
 
 
@@ -476,7 +479,10 @@ def adaboost_reweight(spark, sf):
 
 # --------------------------------------------------------------------------- M: association rules
 
-BASKET_COLS = ["CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE", "STATUS"]
+BASKET_COLS = [
+    "CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE",
+    "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE", "OCCUPATION_TYPE", "STATUS",
+]
 RULE_SUPPORT = 0.05
 RULE_CONFIDENCE = 0.7
 
@@ -498,7 +504,7 @@ def baskets(spark, sf):
     return b.select("id", F.array_join("items", "|").alias("items"), F.size("items").alias("n_items"))
 
 
-def _itemsets_sql(max_k: int = 6) -> str:
+def _itemsets_sql(max_k: int = len(BASKET_COLS)) -> str:
     base = _baskets_sql() + ",\nx AS (SELECT id, unnest(items) AS it FROM b),\nn AS (SELECT count(*) AS n FROM b)"
     parts = []
     for k in range(1, max_k + 1):

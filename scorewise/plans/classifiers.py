@@ -1,7 +1,7 @@
 """Registered model queries (rows-only checks): trees, linear models, kernels,
 forests, ensembles, MLP, feature importances and cross-validation.
 
-All of them share one model table: prepared applicants -> one-hot -> z-scores
+All of them share one model table: prepared applicants -> 27 features -> z-scores
 (2 dp) -> deterministic 80/20 split by ID hash -> SMOTE on the training part
 only -> reliable checkpoint (fits read the training rows many times).  Each
 query makes the table itself: nothing is kept from one query to the next.
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from scorewise.functions.scalar import round_even, split_bucket
 from scorewise.operators import bayes, classify, ensemble, resample
-from scorewise.operators.encode import standardize
-from scorewise.plans.analytics import STD_COLS, encoded
+from scorewise.operators.encode import indicators, standardize
+from scorewise.plans.analytics import STD_COLS
 from scorewise.plans.registry import query
+from scorewise.plans.relational import FEATURES, prepared
 from scorewise.session import cut_lineage
 
 SEED = 5805
@@ -40,7 +41,6 @@ CHECK_FOLDS = 2
 # Deep trees: cache node ids (checkpointed to spark.checkpoint.dir every 10
 # iterations) instead of re-walking every tree for every row at each level.
 TREE_OPTS = {"cacheNodeIds": True, "maxMemoryInMB": 512}
-DROP = ("ROW_NO", "ID", "STATUS", "CNT_CHILDREN", "response")
 
 
 class ModelData:
@@ -75,12 +75,12 @@ def model_data(spark, sf) -> ModelData:
     """Feature table of the model queries, materialised once per call (``sf`` may be one that is made already)."""
     if isinstance(sf, ModelData):
         return sf
-    enc = encoded(spark, sf).filter(F.col("response").isNotNull())
-    z = standardize(enc, STD_COLS, 2)
-    feats = [c for c in z.columns if c not in DROP]
+    feats = list(FEATURES)
+    rows = prepared(spark, sf).filter(F.col("response").isNotNull())
+    z = standardize(rows, [c for c in STD_COLS if c in feats], 2)
     rows = z.select(
         F.col("ID").alias("id"), F.col("response").alias("label"),
-        F.array(*[F.col(f"`{c}`").cast("double") for c in feats]).alias("v"),
+        F.array(*[c.cast("double") for c in indicators(z, feats)]).alias("v"),
     )
     rows = cut_lineage(rows)  # the prep / encode / scale plan runs once
     b = split_bucket("id", SEED)

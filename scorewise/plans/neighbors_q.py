@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from scorewise.functions.scalar import round_even, split_bucket, split_bucket_sql
 from scorewise.operators import bayes, cluster, neighbors, resample
-from scorewise.plans.analytics import STD_COLS, encoded
+from scorewise.plans.analytics import STD_COLS
 from scorewise.plans.duck import PREP_CTE, fx, with_fx
 from scorewise.plans.registry import query
+from scorewise.plans.relational import prepared
 from scorewise.session import cut_lineage
 from scorewise.sources.fixtures import fixture
 
@@ -299,8 +300,8 @@ NB_SMOOTHING = 1e-9
 def _nb_data(spark, sf):
     from scorewise.operators.encode import standardize
 
-    enc = encoded(spark, sf).filter(F.col("response").isNotNull())
-    z = cut_lineage(standardize(enc, STD_COLS, 2).select("ID", "response", *NB_FEATS))  # read by fit and predict
+    rows = prepared(spark, sf).select("ID", "response", *NB_FEATS).filter(F.col("response").isNotNull())
+    z = cut_lineage(standardize(rows, STD_COLS, 2).select("ID", "response", *NB_FEATS))  # read by fit and predict
     b = split_bucket("ID", SEED)
     return z.filter(b >= 20), z.filter(b < 20)
 

@@ -18,9 +18,10 @@ from scorewise.functions.scalar import (
     split_bucket_sql,
 )
 from scorewise.operators import clean, ordinal, profile
+from scorewise.operators.encode import indicators
 from scorewise.plans.duck import JOINED_CTES, PREP_CTE, with_fx
 from scorewise.plans.registry import query
-from scorewise.sources.fixtures import fixture
+from scorewise.sources.fixtures import APP_COLUMNS, fixture
 from scorewise.sources.tables import APPLICATION_SCHEMA, CREDIT_SCHEMA, conform
 
 SPLIT_SEED = 5805
@@ -89,12 +90,7 @@ def row_ordinal(spark, sf):
     return ordinal.with_row_index(app(spark, sf).select("ID", "ROW_NO"), "ROW_NO", "row_idx")
 
 
-_APP_TYPES = [
-    ("ROW_NO", "bigint"), ("ID", "bigint"), ("CODE_GENDER", "string"), ("FLAG_OWN_CAR", "string"),
-    ("FLAG_OWN_REALTY", "string"), ("CNT_CHILDREN", "int"), ("AMT_INCOME_TOTAL", "double"),
-    ("NAME_INCOME_TYPE", "string"), ("NAME_EDUCATION_TYPE", "string"), ("DAYS_EMPLOYED", "int"),
-    ("FLAG_WORK_PHONE", "int"), ("OCCUPATION_TYPE", "string"), ("CNT_FAM_MEMBERS", "double"),
-]
+_APP_TYPES = [("ROW_NO", "bigint"), *((f.name, f.dataType.simpleString()) for f in APPLICATION_SCHEMA)]
 
 
 def _union_per_column(select_for) -> str:
@@ -118,22 +114,44 @@ def head_n(spark, sf):
     return app(spark, sf).orderBy("ROW_NO").limit(10)
 
 
-@query("table_shape", PREP_CTE + "\nSELECT count(*) AS n_rows, CAST(16 AS BIGINT) AS n_cols FROM prepared")
+@query("table_shape", PREP_CTE + "\nSELECT count(*) AS n_rows, CAST(22 AS BIGINT) AS n_cols FROM prepared")
 def table_shape(spark, sf):
     return profile.table_shape(prepared(spark, sf))
 
 
 # --------------------------------------------------------------------------- P: projections / filters
 
-FEATURES = ["AMT_INCOME_TOTAL", "DAYS_EMPLOYED", "CNT_FAM_MEMBERS", "FLAG_WORK_PHONE", "MONTHS_BALANCE"]
+# The features of all models; <column>_<category> is that category's indicator.
+FEATURES = [
+    "OCCUPATION_TYPE_High skill tech staff", "OCCUPATION_TYPE_Medicine staff", "OCCUPATION_TYPE_Security staff",
+    "NAME_HOUSING_TYPE_With parents", "FLAG_EMAIL", "NAME_HOUSING_TYPE_House / apartment",
+    "NAME_FAMILY_STATUS_Separated", "NAME_EDUCATION_TYPE_Incomplete higher", "NAME_INCOME_TYPE_State servant",
+    "OCCUPATION_TYPE_Drivers", "CODE_GENDER_M", "OCCUPATION_TYPE_Managers",
+    "NAME_FAMILY_STATUS_Single / not married", "NAME_FAMILY_STATUS_Married", "NAME_INCOME_TYPE_Working",
+    "FLAG_OWN_CAR_Y", "DAYS_EMPLOYED", "OCCUPATION_TYPE_Core staff", "FLAG_OWN_REALTY_Y", "CNT_FAM_MEMBERS",
+    "FLAG_WORK_PHONE", "FLAG_PHONE", "OCCUPATION_TYPE_Sales staff",
+    "NAME_EDUCATION_TYPE_Secondary / secondary special", "NAME_EDUCATION_TYPE_Higher education",
+    "OCCUPATION_TYPE_Laborers", "AMT_INCOME_TOTAL",
+]
+
+
+def _feature_sql(name: str) -> str:
+    if name in APP_COLUMNS:
+        return name
+    col = next(c for c in APP_COLUMNS if name.startswith(c + "_"))
+    return f"CAST(CASE WHEN {col} = '{name[len(col) + 1:]}' THEN 1 ELSE 0 END AS INTEGER) AS \"{name}\""
+
+
+FEATURES_SQL = ", ".join(_feature_sql(name) for name in FEATURES)
 
 
 @query(
     "project_features",
-    PREP_CTE + f"\nSELECT ID, {', '.join(FEATURES)}, response FROM prepared",
+    PREP_CTE + f"\nSELECT ID, {FEATURES_SQL}, response FROM prepared",
 )
 def project_features(spark, sf):
-    return prepared(spark, sf).select("ID", *FEATURES, "response")
+    p = prepared(spark, sf)
+    return p.select("ID", *indicators(p, FEATURES), "response")
 
 
 @query(
@@ -141,18 +159,20 @@ def project_features(spark, sf):
     PREP_CTE
     + """
 SELECT ROW_NO, CODE_GENDER, FLAG_OWN_CAR, FLAG_OWN_REALTY, AMT_INCOME_TOTAL, NAME_INCOME_TYPE,
-       NAME_EDUCATION_TYPE, DAYS_EMPLOYED, FLAG_WORK_PHONE, OCCUPATION_TYPE, CNT_FAM_MEMBERS, MONTHS_BALANCE, response
+       NAME_EDUCATION_TYPE, NAME_FAMILY_STATUS, NAME_HOUSING_TYPE, DAYS_EMPLOYED, FLAG_WORK_PHONE, FLAG_PHONE,
+       FLAG_EMAIL, OCCUPATION_TYPE, CNT_FAM_MEMBERS, MONTHS_BALANCE, response
 FROM prepared""",
 )
 def drop_columns(spark, sf):
-    return prepared(spark, sf).drop("ID", "STATUS", "CNT_CHILDREN")
+    return prepared(spark, sf).drop("ID", "STATUS", "CNT_CHILDREN", "FLAG_MOBIL", "DAYS_BIRTH")
 
 
 @query(
     "select_non_numeric",
     PREP_CTE
     + """
-SELECT CODE_GENDER, FLAG_OWN_CAR, FLAG_OWN_REALTY, NAME_INCOME_TYPE, NAME_EDUCATION_TYPE, OCCUPATION_TYPE, STATUS
+SELECT CODE_GENDER, FLAG_OWN_CAR, FLAG_OWN_REALTY, NAME_INCOME_TYPE, NAME_EDUCATION_TYPE, NAME_FAMILY_STATUS,
+       NAME_HOUSING_TYPE, OCCUPATION_TYPE, STATUS
 FROM prepared""",
 )
 def select_non_numeric(spark, sf):
@@ -278,11 +298,11 @@ def round_half_even(spark, sf):
 
 @query(
     "concat_columns",
-    PREP_CTE + f"\nSELECT ID, {', '.join(FEATURES)}, response FROM prepared",
+    PREP_CTE + f"\nSELECT ID, {FEATURES_SQL}, response FROM prepared",
 )
 def concat_columns(spark, sf):
     p = prepared(spark, sf)
-    x = p.select("ID", *FEATURES)
+    x = p.select("ID", *indicators(p, FEATURES))
     y = p.select("ID", "response")
     return x.join(y, on="ID", how="inner")
 

@@ -10,7 +10,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FX_APPLICATION_SQL = """
+from scorewise.sources.tables import APPLICATION_SCHEMA
+
+# The categories of the applicant table's string columns, in sorted order.
+INCOME_TYPES = ["Commercial associate", "Pensioner", "State servant", "Student", "Working"]
+EDUCATION_TYPES = [
+    "Academic degree", "Higher education", "Incomplete higher", "Lower secondary", "Secondary / secondary special",
+]
+FAMILY_STATUSES = ["Civil marriage", "Married", "Separated", "Single / not married", "Widow"]
+HOUSING_TYPES = [
+    "Co-op apartment", "House / apartment", "Municipal apartment", "Office apartment", "Rented apartment", "With parents",
+]
+OCCUPATIONS = [
+    "Accountants", "Cleaning staff", "Cooking staff", "Core staff", "Drivers", "HR staff", "High skill tech staff",
+    "IT staff", "Laborers", "Low-skill Laborers", "Managers", "Medicine staff", "Private service staff",
+    "Realty agents", "Sales staff", "Secretaries", "Security staff", "Waiters/barmen staff",
+]
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def _pick(key: str, keys: list, values: list[str]) -> str:
+    whens = " ".join(f"WHEN {k!r} THEN '{v}'" for k, v in zip(keys, values))
+    return f"CASE {key} {whens} END"
+
+
+def _nth(number: str, values: list[str]) -> str:
+    return _pick(f"{number} % {len(values)}", list(range(len(values))), values)
+
+
+#: The applicant table's columns, as the source has them, after the fixture's own row number.
+APP_COLUMNS = ["ROW_NO", *APPLICATION_SCHEMA.fieldNames()]
+
+FX_APPLICATION_SQL = f"""
 WITH base AS (
  SELECT c_custkey AS ROW_NO,
   CASE WHEN c_custkey % 10 = 9 THEN c_custkey + 1000000000 ELSE c_custkey END AS ID,
@@ -19,19 +50,23 @@ WITH base AS (
   CASE WHEN c_custkey % 5 < 3 THEN 'Y' ELSE 'N' END AS FLAG_OWN_REALTY,
   CAST(c_custkey % 6 AS INT) - 1 AS CNT_CHILDREN,
   c_acctbal AS AMT_INCOME_TOTAL,
-  c_mktsegment AS NAME_INCOME_TYPE,
-  r_name AS NAME_EDUCATION_TYPE,
+  {_pick("c_mktsegment", SEGMENTS, INCOME_TYPES)} AS NAME_INCOME_TYPE,
+  {_nth("r_regionkey", EDUCATION_TYPES)} AS NAME_EDUCATION_TYPE,
+  {_nth("(c_custkey * 13 % 31)", FAMILY_STATUSES)} AS NAME_FAMILY_STATUS,
+  {_nth("(c_custkey * 11 % 37)", HOUSING_TYPES)} AS NAME_HOUSING_TYPE,
+  CAST(-(7000 + (c_custkey * 53) % 18000) AS INT) AS DAYS_BIRTH,
   CAST(-((c_custkey * 37) % 5000) AS INT) AS DAYS_EMPLOYED,
+  1 AS FLAG_MOBIL,
   CAST((c_custkey * 7) % 11 % 2 AS INT) AS FLAG_WORK_PHONE,
-  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE n_name END AS OCCUPATION_TYPE,
+  CAST((c_custkey * 5) % 13 % 2 AS INT) AS FLAG_PHONE,
+  CASE WHEN (c_custkey * 3) % 29 % 7 = 0 THEN 1 ELSE 0 END AS FLAG_EMAIL,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE {_nth("n_nationkey", OCCUPATIONS)} END AS OCCUPATION_TYPE,
   CAST(1 + c_custkey % 4 AS DOUBLE) AS CNT_FAM_MEMBERS
  FROM customer JOIN nation ON c_nationkey = n_nationkey
                JOIN region ON n_regionkey = r_regionkey)
 SELECT * FROM base
 UNION ALL
-SELECT ROW_NO + 100000000 AS ROW_NO, ID, CODE_GENDER, FLAG_OWN_CAR, FLAG_OWN_REALTY, CNT_CHILDREN,
-       AMT_INCOME_TOTAL, NAME_INCOME_TYPE, NAME_EDUCATION_TYPE, DAYS_EMPLOYED, FLAG_WORK_PHONE,
-       OCCUPATION_TYPE, CNT_FAM_MEMBERS
+SELECT ROW_NO + 100000000 AS ROW_NO, {", ".join(APP_COLUMNS[1:])}
 FROM base WHERE ID % 50 = 0
 """
 
