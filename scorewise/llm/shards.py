@@ -2,49 +2,61 @@
 
 The communication matrix of a uniform shuffle has a known law: how many rows
 go from each partition to each shard follows the multivariate hypergeometric
-distribution.  The matrix (partitions x shards, small numbers) is drawn on the
-driver from the partitions' row counts alone.  Then each partition permutes its
-rows and cuts them by its line of the matrix, the rows are exchanged by shard,
-and each shard permutes what it got.  Shard sizes are exact by construction,
-and differ by one row at most.
+distribution.  It is drawn in two steps from row counts alone.  The driver
+draws the matrix (block of partitions x shard); there are about as many blocks
+as a block has partitions, so both are near the square root of the partitions.
+A task per block then deals its line of that matrix to the block's partitions.
+Given a block's line, the block's rows are again shuffled uniformly, so the
+two steps give the law of one.  After that each partition permutes its rows
+and cuts them by its line, the rows are exchanged by shard, and each shard
+permutes what it got.  Shard sizes are exact by construction, and differ by
+one row at most.
 
 The permutations sort by a hash of (seed, partition, row), so retried tasks
 give the same rows.  The rows' partition and place are written first; no later
 step depends on how files are split when they are read.  Places in a shard are
 counted in cells of a shard (ranges of the sort key), so no task holds a shard.
+The plan is one and the same at every size.
 
 Defined results: null texts have no bytes; equal rows, equal or null ids are
 rows like all others; equal texts are placed apart from each other at random.
-An empty table gives no rows.  DataFrame functions only.
+An empty table gives no rows.  Rows that have a column ``shard`` or ``slot``
+(in any case) keep it; the new columns then take underscores before their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorewise.llm.common import staged, table
+from scorewise.llm.common import free_name, staged, table
 
 #: Rows of a cell, about: the rows that one task permutes at once.
 CELL_ROWS = 500_000
 
 
-def draw_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
-    """Row counts [partition, shard] of a uniform shuffle into shards of near-equal sizes."""
-    rng = np.random.Generator(np.random.Philox(seed))
-    total = sum(rows)
+def shard_sizes(total: int, shards: int, rng: np.random.Generator) -> np.ndarray:
+    """Sizes that differ by one at most; which shards are larger is drawn."""
     room = np.full(shards, total // shards, np.int64)
     room[: total % shards] += 1
     rng.shuffle(room)
-    out = np.zeros((len(rows), shards), np.int64)
+    return room
+
+
+def draw_matrix(rows: list[int], room: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Row counts [part, shard] of a uniform shuffle of parts of these sizes into shards with this room."""
+    room = room.copy()
+    out = np.zeros((len(rows), len(room)), np.int64)
     for p, n in enumerate(rows):
         left, rest = n, int(room.sum())
-        for s in range(shards):  # one hypergeometric draw after another: exact at any size
+        for s in range(len(room)):  # a line's entries one after another, each given those before it
             rest -= int(room[s])
-            got = _hypergeometric(rng, int(room[s]), rest, left)
-            out[p, s] = got
-            left -= got
+            out[p, s] = _hypergeometric(rng, int(room[s]), rest, left)
+            left -= int(out[p, s])
         room -= out[p]
     return out
 
@@ -54,84 +66,100 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
         return 0
     if bad == 0:
         return draws
-    if good + bad < 1_000_000_000:
+    if good + bad < 1_000_000_000:  # numpy's limit
         return int(rng.hypergeometric(good, bad, draws))
-    return _large(rng, good, bad, draws)  # numpy's limit; beyond it by halving
+    first, mass = _masses(good, bad, draws)
+    return first + min(int(np.searchsorted(np.cumsum(mass), rng.random(), side="right")), len(mass) - 1)
 
 
-def _large(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Hypergeometric draws beyond numpy's limit, by inversion from the mode outwards."""
-    from math import exp, lgamma
+def _masses(good: int, bad: int, draws: int) -> tuple[int, np.ndarray]:
+    """The hypergeometric law around its mode: the first value, and the probabilities from there on.
 
+    Ratios of neighbouring probabilities are p(k+1)/p(k) = 1 + u(k)/v(k) with a
+    linear u, so their logarithms lose no digits however large the numbers are.
+    They are summed outwards from the mode until nothing is left that a double
+    between 0 and 1 could meet (e^-60), and divided by their sum.
+    """
     total = good + bad
-
-    def log_p(k: int) -> float:
-        def choose(n: int, r: int) -> float:
-            return lgamma(n + 1) - lgamma(r + 1) - lgamma(n - r + 1)
-
-        return choose(good, k) + choose(bad, draws - k) - choose(total, draws)
-
     lo, hi = max(0, draws - bad), min(draws, good)
     mode = min(max((draws + 1) * (good + 1) // (total + 2), lo), hi)
-    at = exp(log_p(mode))
-    u = rng.random() - at
-    up, down, p_up, p_down = mode, mode, at, at
-    while u > 0 and (up < hi or down > lo):
-        if up < hi:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            u -= p_up
-            if u <= 0:
-                return up
-        if down > lo:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            u -= p_down
-            if u <= 0:
-                return down
-    return mode
+    spread = (draws * (good / total) * (bad / total) * ((total - draws) / max(total - 1, 1))) ** 0.5
+
+    def side(step: int, limit: int) -> np.ndarray:
+        """Logarithms of p(mode + step * j) / p(mode) for j = 1, 2, .. limit, as far as they count."""
+        logs, at, last = [], 0, 0.0
+        block = int(4 * spread) + 64
+        while at < limit and last > -60:
+            j = np.arange(at, min(at + block, limit), dtype=np.float64)
+            # from k to k + 1; going down, from k - 1 to k and the ratio is turned over
+            base = mode if step > 0 else mode - 1
+            over = float((good - base) * (draws - base) - (base + 1) * (bad - draws + base + 1)) - step * j * float(total + 2)
+            under = (base + 1 + step * j) * (float(bad - draws + base + 1) + step * j)
+            run = last + np.cumsum(step * np.log1p(over / under))
+            logs.append(run)
+            at, last = at + len(j), float(run[-1])
+        return np.concatenate(logs) if logs else np.zeros(0)
+
+    down, up = side(-1, mode - lo), side(1, hi - mode)
+    mass = np.exp(np.concatenate([down[::-1], [0.0], up]))
+    return mode - len(down), mass / mass.sum()
+
+
+def _dealt(counts: DataFrame, blocks: int, shards: int, seed: int, cut: str) -> DataFrame:
+    """(part, cut): for each partition how many of its rows go to the shards up to each one."""
+    block = F.pmod(F.xxhash64("part"), F.lit(blocks)).cast("int")
+    counts = counts.select("part", "n", block.alias("block"))
+    sizes = sorted((r["block"], r["n"]) for r in counts.groupBy("block").agg(F.sum("n").alias("n")).collect())
+    rng = np.random.Generator(np.random.Philox(seed))
+    rows = [n for _, n in sizes]
+    lines = draw_matrix(rows, shard_sizes(sum(rows), shards, rng), rng).tolist()
+    rooms = counts.sparkSession.createDataFrame([(b, line) for (b, _), line in zip(sizes, lines)], "block int, room array<long>")
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for number, room, parts, ns in zip(frame["block"], frame["room"], frame["parts"], frame["ns"]):
+                own = np.random.Generator(np.random.Philox(key=[seed, int(number) + 1]))
+                drawn = draw_matrix([int(n) for n in ns], np.asarray(room, np.int64), own)
+                yield pd.DataFrame({"part": np.asarray(parts), cut: list(np.cumsum(drawn, axis=1))})
+
+    listed = counts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("of"))
+    lists = listed.select("block", F.col("of.part").alias("parts"), F.col("of.n").alias("ns"))
+    return lists.join(rooms, "block").mapInPandas(deal, f"part int, `{cut}` array<long>")
 
 
 def uniform_shards(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """``rows`` and (shard int, slot long): uniformly shuffled, slots gapless from 0 in each shard."""
-    taken = {c.lower() for c in rows.columns}
-    part, seq, cut, shard, slot, key, cell = (_free(n, taken) for n in ("_part", "_seq", "_cut", "shard", "slot", "_key", "_cell"))
-    if {"shard", "slot"} & taken:
-        raise ValueError("the rows already have a column shard or slot")
+    taken = list(rows.columns)
+
+    def name(wanted: str) -> str:
+        taken.append(free_name(wanted, taken))
+        return taken[-1]
+
+    part, seq, cut, shard, slot, key, cell, n = map(name, ("_part", "_seq", "_cut", "shard", "slot", "_key", "_cell", "_n"))
     kept = staged(rows.withColumn(part, F.spark_partition_id()).withColumn(seq, F.monotonically_increasing_id()), "shard-rows")
-    counts = sorted(kept.groupBy(part).count().collect())  # a row for each partition
-    spark = rows.sparkSession
-    total = sum(n for _, n in counts)
-    lines = np.cumsum(draw_matrix([n for _, n in counts], shards, seed), axis=1).tolist()
-    cuts = spark.createDataFrame([(p, line) for (p, _), line in zip(counts, lines)], f"{part} int, {cut} array<long>")
+    counts = staged(kept.groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("n")), "shard-counts")
+    parts, total = counts.agg(F.count("part"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, round(parts**0.5))
+    cuts = staged(_dealt(counts, blocks, shards, seed, cut).withColumnRenamed("part", part), "shard-cuts")
     local = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed), F.lit("out"), part, seq), seq)
     cells = max(1, -(-total // (shards * CELL_ROWS)))
     sent = (
         kept.withColumn(key, F.row_number().over(local).cast("long"))
-        .join(F.broadcast(cuts), part)  # partitions x shards numbers
+        .join(cuts, part)
         .withColumn(shard, F.size(F.filter(cut, lambda c: c < F.col(key))))
         .drop(cut, key)
         .withColumn(key, F.xxhash64(F.lit(seed), F.lit("in"), part, seq))
         .withColumn(cell, F.pmod(F.shiftrightunsigned(key, 16), F.lit(cells)).cast("int"))
     )
-    if cells > 1:
-        sent = staged(sent, "shard-sent")
-        sizes = sent.groupBy(shard, cell).count()
-        first = F.sum("count").over(Window.partitionBy(shard).orderBy(cell)) - F.col("count")
-        sent = sent.join(F.broadcast(sizes.select(shard, cell, first.alias(cut))), [shard, cell])
-    else:
-        sent = sent.withColumn(cut, F.lit(0).cast("long"))
+    sent = staged(sent, "shard-sent")
+    sizes = sent.groupBy(shard, cell).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(shard).orderBy(cell)) - F.col(n)
+    sent = sent.join(sizes.select(shard, cell, before.alias(cut)), [shard, cell])
     inside = Window.partitionBy(shard, cell).orderBy(key, part, seq)
     placed = sent.withColumn(slot, F.col(cut) + F.row_number().over(inside) - 1)
     return placed.select(*rows.columns, F.col(shard).cast("int"), F.col(slot).cast("long"))
 
 
-def _free(name: str, taken: set[str]) -> str:
-    while name in taken and name not in ("shard", "slot"):
-        name = "_" + name
-    return name
-
-
 def op5_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law ``rows``."""
     docs = table(spark, sf_dir, "documents")

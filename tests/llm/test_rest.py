@@ -6,6 +6,8 @@ import json
 import os
 import random
 import re
+from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +71,55 @@ def test_matrix_law():
     """Every row is as likely in every shard; pairs of rows of one partition part as in a shuffle."""
     total = np.zeros((3, 4))
     for seed in range(400):
-        m = shards.draw_matrix([5, 0, 7], 4, seed)
+        m = shards.draw_matrix([5, 0, 7], np.full(4, 3), np.random.default_rng(seed))
         assert m.sum(axis=1).tolist() == [5, 0, 7] and set(m.sum(axis=0)) == {3}
         total += m
     assert np.abs(total / 400 - np.array([[1.25], [0], [1.75]])).max() < 0.2
-    big = [shards._large(np.random.default_rng(s), 10**10, 3 * 10**10, 4 * 10**9) for s in range(50)]
-    assert abs(np.mean(big) - 1e9) < 5e4
+
+
+@pytest.mark.parametrize("good, bad, draws", [(40, 60, 30), (3, 997, 500), (700, 300, 900), (1, 1, 1), (5, 2, 6)])
+def test_masses_are_exact(good, bad, draws):
+    """Against whole-number binomials: every probability, and none left out that a double could meet."""
+    first, mass = shards._masses(good, bad, draws)
+    exact = {k: Fraction(comb(good, k) * comb(bad, draws - k), comb(good + bad, draws)) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+    for i, m in enumerate(mass):
+        assert abs(float(m / exact[first + i]) - 1) < 1e-11
+    assert sum(p for k, p in exact.items() if not first <= k < first + len(mass)) < 1e-20
+
+
+@pytest.mark.parametrize("total, draws", [(10**12, 10**6), (10**13, 10**6), (10**13, 10**9)])
+def test_masses_of_many_rows(total, draws):
+    """Mass, mean and variance at sizes where log-gamma differences lose their digits."""
+    good, bad = total // 40, total - total // 40
+    first, mass = shards._masses(good, bad, draws)
+    k = np.arange(len(mass)) + float(first) - draws / 40
+    assert abs(mass.sum() - 1) < 1e-12
+    variance = draws * (good / total) * (bad / total) * ((total - draws) / (total - 1))
+    assert abs((mass * k).sum()) < 1e-9 * variance and abs((mass * k * k).sum() / variance - 1) < 1e-9
+    drawn = [shards._hypergeometric(np.random.default_rng(s), good, bad, draws) - draws / 40 for s in range(100)]
+    assert abs(np.mean(drawn)) < 0.5 * variance**0.5 and 0.6 < np.var(drawn) / variance < 1.6
+
+
+def test_shuffle_law(spark):
+    """The whole job against the uniform law: chi-square of partitions x shards, and no order left in the slots."""
+    rounds, chi, order = 12, 0.0, []
+    rows = spark.range(0, 300, 1, 5)
+    for seed in range(rounds):
+        got = shards.uniform_shards(rows, 3, seed=seed).toPandas()
+        table = got.assign(part=got["id"] // 60).groupby(["part", "shard"]).size().unstack(fill_value=0).to_numpy()
+        chi += ((table - 20) ** 2 / 20).sum() * 299 / 300
+        order += [g["id"].corr(g["slot"]) for _, g in got.groupby("shard")]
+    assert 55 < chi < 145  # 12 tables of 8 degrees of freedom: 96, standard deviation 14
+    assert abs(np.mean(order)) < 0.07 and np.std(order) < 0.15  # 36 correlations of 100 rows
+
+
+def test_shards_keep_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, f"s{i}", -i, None, 7) for i in range(9)], "doc_id long, Shard string, slot long, _part string, n int")
+    got = shards.uniform_shards(rows, 2, seed=1)
+    assert got.columns == ["doc_id", "Shard", "slot", "_part", "n", "_shard", "_slot"]
+    rows = got.collect()
+    assert sorted((r["doc_id"], r["Shard"], r["slot"], r["_part"], r["n"]) for r in rows) == [(i, f"s{i}", -i, None, 7) for i in range(9)]
+    assert sorted((r["_shard"], r["_slot"]) for r in rows) in ([(0, i) for i in range(k)] + [(1, i) for i in range(9 - k)] for k in (4, 5))
 
 
 def test_warc_round_trip(spark):
