@@ -12,15 +12,17 @@ equal samples wherever they stand, with two samples in 78 bytes.
    triple that occurs once can't start a repeat, and its suffix is done.
 2. Recursion on names: a repeated sample goes on with its name and all bytes
    of the strings that it stands for (its context).  Equal (name, context)
-   pairs get one name in turn; all but the first of them are repeats.
+   pairs get one name in turn, by hash and then byte by byte; all but the
+   first of them are repeats.
 3. The remaining suffixes, those that start at the up to 77 unsampled bytes
    before a sample, are merged in: within a name, the strings of different
    contexts are sorted by place and content.
 4. Adjacent prefixes of ``LENGTH`` bytes are compared byte by byte; of a run
    of equal ones, all but the first are repeats.
 
-Contexts of very frequent names go through the same comparison as rows of a
-distributed aggregation instead of one task.  Everything a document loses comes
+Strings of very frequent names meet as rows of a distributed aggregation
+instead of one task, there by 128 bits of hashes.  Texts may be as long as
+Spark's strings: long ones are sampled in overlapping slices.  Everything a document loses comes
 back to it as intervals.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes lose
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +51,12 @@ TRIPLE = 24  # three words of 8 bytes
 WINDOW = LENGTH - TRIPLE + 1
 #: Contexts of one name that one task compares; names with more are dealt out by string.
 CROWDED = 20_000
+#: Bits of a place in a text; no string of Spark's is longer.
+PLACE = 31
+#: Strings that start in so many bytes of a text are sampled at once.
+SLICE = 32 << 20
+#: Contexts of crowded names that a task remembers, to send each one on once.
+REMEMBERED = 20_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -69,9 +78,7 @@ def samples(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     name = mix64(name)
     name ^= words[16 : 16 + m] * np.uint64(0xA0761D6478BD642F)
     name = mix64(name)
-    low = np.uint64((1 << 28) - 1)
-    if n >= 1 << 28:
-        raise ValueError("a text of 256 MB or more")
+    low = np.uint64((1 << PLACE) - 1)  # equal high bits: the leftmost one
     value = (name & ~low) | np.arange(m, dtype=np.uint64)
     span = 1
     while span * 2 <= WINDOW:
@@ -102,7 +109,38 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _run(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """An interval as one negative number, so that it can stand among packed samples."""
-    return -1 - (start << 28 | length)
+    return -1 - (start << PLACE | length)
+
+
+def _slices(data: np.ndarray, rows: np.ndarray, at_once: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, data, rows) as they are, or a single long text in slices, each string in one of them."""
+    if len(rows) != 2 or len(data) <= at_once + LENGTH:
+        yield 0, data, rows
+        return
+    for lo in range(0, len(data) - LENGTH + 1, at_once):
+        some = data[lo : lo + at_once + LENGTH - 1]
+        yield lo, some, np.array([0, len(some)], np.int64)
+
+
+def _samples_of(data: np.ndarray, rows: np.ndarray, number: np.ndarray, before: int) -> pa.RecordBatch:
+    """``sampled`` for texts (numbers, bytes and bounds) that begin ``before`` bytes after their documents."""
+    name, place, offset, strings = samples(data, rows)
+    row = np.searchsorted(rows, place, side="right") - 1
+    begin, size = place - offset, strings + (LENGTH - 1)
+    alike = (name[1:] == name[:-1]) & (offset[1:] == offset[:-1]) & (strings[1:] == strings[:-1]) & (row[1:] == row[:-1])
+    raw, gone = data.tobytes(), np.zeros(len(name) + 1, bool)
+    for i in np.flatnonzero(alike).tolist():
+        x, y, n = int(begin[i]), int(begin[i + 1]), int(size[i])
+        gone[i + 1] = raw[x : x + n] == raw[y : y + n]
+    first = np.flatnonzero(gone[1:] & ~gone[:-1]) + 1
+    last = np.flatnonzero(gone[:-1] & ~gone[1:])
+    local = begin - rows[row] + before if len(row) else begin
+    runs = _run(local[first], begin[last] + size[last] - begin[first])
+    kept = ~gone[: len(name)]
+    uid = number[row] if len(row) else np.zeros(0, np.int64)
+    names = np.concatenate([name[kept], mix64(uid[first].astype(np.uint64))]).view(np.int64)
+    packed = np.concatenate([_pack(local[kept] + offset[kept], offset[kept], strings[kept]), runs])
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([uid[kept], uid[first]])), pa.array(packed)], ["name", "uid", "packed"])
 
 
 def sampled(docs: DataFrame) -> DataFrame:
@@ -112,56 +150,72 @@ def sampled(docs: DataFrame) -> DataFrame:
     the first of them stays, the others are repeats already and come as one
     interval (packed is negative).
     """
+    at_once = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in pieces(whole, "text"):
-                data, rows = utf8(part.column("text"))
-                name, place, offset, strings = samples(data, rows)
-                row = np.searchsorted(rows, place, side="right") - 1
-                begin, size = place - offset, strings + (LENGTH - 1)
-                alike = (name[1:] == name[:-1]) & (offset[1:] == offset[:-1]) & (strings[1:] == strings[:-1]) & (row[1:] == row[:-1])
-                raw, gone = data.tobytes(), np.zeros(len(name) + 1, bool)
-                for i in np.flatnonzero(alike).tolist():
-                    x, y, n = int(begin[i]), int(begin[i + 1]), int(size[i])
-                    gone[i + 1] = raw[x : x + n] == raw[y : y + n]
-                first = np.flatnonzero(gone[1:] & ~gone[:-1]) + 1
-                last = np.flatnonzero(gone[:-1] & ~gone[1:])
-                local = begin - rows[row] if len(row) else begin
-                runs = _run(local[first], begin[last] + size[last] - begin[first])
-                kept = ~gone[: len(name)]
+            for part in pieces(whole, "text", min(2_000_000, at_once)):
                 number = part.column("uid").to_numpy()
-                uid = number[row] if len(row) else np.zeros(0, np.int64)
-                names = np.concatenate([name[kept], mix64(uid[first].astype(np.uint64))]).view(np.int64)
-                packed = np.concatenate([_pack(local[kept] + offset[kept], offset[kept], strings[kept]), runs])
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([uid[kept], uid[first]])), pa.array(packed)], ["name", "uid", "packed"])
+                for before, data, rows in _slices(*utf8(part.column("text")), at_once):
+                    yield _samples_of(data, rows, number, before)
 
     return docs.select("uid", "text").mapInArrow(run, "name long, uid long, packed long")
 
 
+class Remembered:
+    """Contexts of crowded names that a task has sent on, the earliest of each.
+
+    One that comes later in the corpus than an equal one is a repeat already:
+    it needs no row, and a passage that millions of documents share leaves a
+    task about once.  The memory is emptied when it is full; that costs rows only.
+    """
+
+    def __init__(self, room: int) -> None:
+        self.room = room
+        self.known: dict[tuple[int, int], tuple[int, int, bytes]] = {}
+
+    def later(self, name: int, inner: int, uid: int, packed: int, context: bytes) -> bool:
+        old = self.known.get((name, inner))
+        if old is not None and old[:2] < (uid, packed):
+            return old[2] == context
+        if len(self.known) >= self.room:
+            self.known.clear()
+        self.known[name, inner] = (uid, packed, context)
+        return False
+
+
 def contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(name, inner, uid, packed, crowded, context): repeated samples with the bytes of all their strings."""
+    """(name, inner, uid, packed, crowded, context): repeated samples with the bytes of all their strings.
+
+    The context is null where the sample is known to repeat an earlier one.
+    """
     lists = repeated.groupBy("uid").agg(F.collect_list(F.struct("name", "packed", (F.col("n") > CROWDED).alias("crowded"))).alias("samples"))
     rows = docs.select("uid", "text").join(lists.hint("merge"), "uid").select("uid", "text", "samples.name", "samples.packed", "samples.crowded")
+    room = REMEMBERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, mark = Remembered(room), [bytes([o]) for o in range(128)]
         for whole in batches:
             for part in pieces(whole, "text", 1_000_000):
                 data, bounds = utf8(part.column("text"))
-                raw = data.tobytes()
+                raw = memoryview(data)
                 counts = part.column("name").value_lengths().to_numpy()
-                packed = part.column("packed").flatten().to_numpy()
-                first, offset, strings = _unpack(packed)
-                begin = first + np.repeat(bounds[:-1], counts)
-                end = begin + strings + (LENGTH - 1)
-                found = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-                mark = [bytes([o]) for o in range(128)]
-                inner = [int.from_bytes(hashlib.blake2b(c + mark[o], digest_size=8).digest(), "little", signed=True) for c, o in zip(found, offset.tolist())]
-                uid = np.repeat(part.column("uid").to_numpy(), counts)
-                for lo in range(0, len(found), 20_000):
+                columns = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("name", "packed", "crowded")]
+                base, uids = np.repeat(bounds[:-1], counts), np.repeat(part.column("uid").to_numpy(), counts)
+                for lo in range(0, len(uids), 20_000):
                     cut = slice(lo, lo + 20_000)
+                    name, packed, crowded = (c[cut] for c in columns)
+                    uid = uids[cut]
+                    first, offset, strings = _unpack(packed)
+                    begin = first + base[cut]
+                    end = begin + strings + (LENGTH - 1)
+                    found: list = [raw[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
+                    inner = [int.from_bytes(hashlib.blake2b(c + mark[o], digest_size=8).digest(), "little", signed=True) for c, o in zip(found, offset.tolist())]
+                    for i in np.flatnonzero(crowded).tolist():
+                        if seen.later(int(name[i]), inner[i], int(uid[i]), int(packed[i]), found[i]):
+                            found[i] = None
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("name").flatten()[cut], pa.array(inner[cut], pa.int64()), pa.array(uid[cut]), pa.array(packed[cut]), part.column("crowded").flatten()[cut], pa.array(found[cut], pa.binary())],
+                        [pa.array(name), pa.array(inner, pa.int64()), pa.array(uid), pa.array(packed), pa.array(crowded), pa.array(found, pa.binary())],
                         ["name", "inner", "uid", "packed", "crowded", "context"],
                     )
 
@@ -218,7 +272,8 @@ def _compared(rows: DataFrame) -> DataFrame:
     """Repeats among the contexts of each name, as (uid, at, to).
 
     The rows of a name meet in one task.  A crowded name is dealt out by the
-    names of its contexts: equal contexts meet, and the first of each comes back
+    names of its contexts: equal contexts meet (a map task sends each about
+    once, the others are known as repeats), and the first of each comes back
     (name, packed and context are not null) to be compared by ``_dealt``.
     """
 
@@ -231,13 +286,21 @@ def _compared(rows: DataFrame) -> DataFrame:
                 hi = int(cuts[min(np.searchsorted(cuts, lo + 10_000), len(cuts) - 1)])
                 some = whole.slice(lo, hi - lo)
                 lo = hi
+                known = pc.is_null(some.column("context"))
+                yield _told(_whole(*(some.filter(known).column(c).to_numpy() for c in ("uid", "packed"))))
+                some = some.filter(pc.invert(known))
+                if not some.num_rows:
+                    continue
                 group, name, inner, uid, packed, crowded = (some.column(c).to_numpy() for c in ("group", "name", "inner", "uid", "packed", "crowded"))
                 # the names of names: rows come by place in the corpus, so the first of each is the earliest
                 _, first, which = np.unique(mix64(name.view(np.uint64)) ^ inner.view(np.uint64), return_index=True, return_inverse=True)
                 lead = first[which]
-                later = (uid != uid[lead]) | (packed != packed[lead])
+                context = some.column("context")
+                same = pc.equal(context, context.take(pa.array(lead))).to_numpy(zero_copy_only=False).astype(bool)
+                same &= (name == name[lead]) & ((packed >> 7 & 127) == (packed[lead] >> 7 & 127))
+                later = same & ((uid != uid[lead]) | (packed != packed[lead]))
                 yield _told(_whole(uid[later], packed[later]))
-                keep = np.zeros(len(name), bool)
+                keep = ~same  # equal hashes of other bytes
                 keep[first] = True
                 at = np.flatnonzero(keep & ~crowded)
                 if len(at):
@@ -256,7 +319,8 @@ def _compared(rows: DataFrame) -> DataFrame:
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = F.when(F.col("crowded"), F.pmod("inner", F.lit(1024))).otherwise(F.lit(-1))
-    ordered = rows.withColumn("group", F.xxhash64("name", dealt)).repartition(n, "group").sortWithinPartitions("group", "uid", "packed")
+    group = F.when(F.col("context").isNull(), F.xxhash64("uid", "packed")).otherwise(F.xxhash64("name", dealt))
+    ordered = rows.withColumn("group", group).repartition(n, "group").sortWithinPartitions("group", "uid", "packed")
     return ordered.mapInArrow(run, "uid long, at long, to long, name long, packed long, context binary")
 
 
@@ -305,8 +369,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     known = staged(known.filter("n > 1 or packed < 0"), "repeated-names")
     release(docs.sparkSession)  # the samples' shuffle files can go before the texts are shuffled
     number = -1 - F.col("packed")
-    start = F.shiftright(number, 28)
-    runs = known.filter("packed < 0").select("uid", start.alias("at"), (start + number.bitwiseAND(F.lit((1 << 28) - 1))).alias("to"))
+    start = F.shiftright(number, PLACE)
+    runs = known.filter("packed < 0").select("uid", start.alias("at"), (start + number.bitwiseAND(F.lit((1 << PLACE) - 1))).alias("to"))
     found = staged(_compared(contexts(docs, known.filter("packed >= 0"))), "compared")
     marks = runs.unionAll(found.filter("at is not null").select("uid", "at", "to"))
     release(docs.sparkSession)

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scorewise.llm import decontam, embed_dups, minhash, suffix_dups
 from scorewise.llm.common import with_uid
@@ -110,6 +111,42 @@ def test_repeats(odd_docs, monkeypatch, crowded):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["uid"]]
 
 
+@pytest.mark.parametrize("at_once, crowded", [(130, 1000), (77, 1)])
+def test_long_texts_in_slices(spark, monkeypatch, at_once, crowded):
+    """Texts longer than a slice (lowered here) lose the same bytes; a crowded context leaves a task once."""
+    monkeypatch.setattr(suffix_dups, "SLICE", at_once)
+    monkeypatch.setattr(suffix_dups, "CROWDED", crowded)
+    monkeypatch.setattr(suffix_dups, "REMEMBERED", 5)
+    rng = random.Random(7)
+    shared = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    texts = [f"{i} start " * (i % 3) + shared + f" end {i}" * (i % 4) for i in range(40)]
+    texts += ["ab" * 400, "x" * 99, "x" * 100, "x" * 700, None, "", shared[50:300] + shared]
+    docs = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").withColumn("id", F.col("uid"))
+    got = suffix_dups.removed(docs, suffix_dups.repeats(docs)).collect()
+    assert {r["id"]: bytes(r["kept"]) for r in got} == _without_repeats(texts)
+
+
+def test_equal_contexts_are_remembered():
+    seen = suffix_dups.Remembered(2)
+    assert not seen.later(1, 1, 5, 0, b"a")
+    assert seen.later(1, 1, 6, 0, b"a") and not seen.later(1, 1, 6, 0, b"b")  # equal hash, other bytes
+    assert not seen.later(1, 1, 4, 0, b"a") and seen.later(1, 1, 5, 0, b"a")  # an earlier one comes late
+    assert not seen.later(2, 1, 9, 0, b"a") and not seen.later(3, 1, 9, 0, b"a") and not seen.later(1, 1, 9, 0, b"a")  # emptied
+
+
+def _without_repeats(texts):
+    known, out = set(), {}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for at in range(len(raw) - 99):
+            if raw[at : at + 100] in known:
+                gone[at : at + 100] = True
+            known.add(raw[at : at + 100])
+        out[i] = bytes(np.frombuffer(raw, np.uint8)[~gone])
+    return out
+
+
 def test_cut_texts(odd_docs, no_docs):
     got = suffix_dups.cut_texts(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
