@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewise.session import checkpoint_dir, ship_package
@@ -78,24 +78,36 @@ def free_name(name: str, columns: list[str]) -> str:
 def add_uid(docs: DataFrame, uid: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` and ``uid``: one number per document, in order of the ids.
 
-    With unique ids the uid is the id.  Rows that share an id, or have none,
-    are told apart by their text: (id, text) pairs are ranked, null ids first,
-    and equal pairs are one document.
+    With unique ids that are whole numbers the uid is the id.  Ids of other
+    types are ranked in their order.  Rows that share an id, or have none, are
+    told apart by their text: (id, text) pairs are ranked, null ids first, and
+    equal pairs are one document.
     """
-    odd = docs.groupBy(F.col(id_col).alias("id")).count().filter("id is null or count > 1")
-    if odd.isEmpty():
-        return docs.withColumn(uid, F.col(id_col).cast("long"))
-    mark, rid, rmark = (free_name(n, docs.columns) for n in ("_mark", "_rid", "_rmark"))
+    kind = dict(docs.dtypes)[id_col]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        odd = docs.groupBy(F.col(id_col).alias("id")).count().filter("id is null or count > 1")
+        if odd.isEmpty():
+            return docs.withColumn(uid, F.col(id_col).cast("long"))
+    mark, rid, rmark = (free_name(n, [*docs.columns, uid]) for n in ("_mark", "_rid", "_rmark"))
     text = F.col(text_col)
     keyed = docs.withColumn(mark, F.concat(F.when(text.isNull(), "0").otherwise("1"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
-    pairs = keyed.select(F.col(id_col).alias("id"), F.col(mark).alias("mark")).distinct().orderBy(F.col("id").asc_nulls_first(), "mark")
-    ranked = pairs.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-    kind = dict(docs.dtypes)[id_col]
-    ids = staged(docs.sparkSession.createDataFrame(ranked, f"{uid} long, {rid} {kind}, {rmark} string"), "uids")
+    pairs = keyed.select(F.col(id_col).alias(rid), F.col(mark).alias(rmark)).distinct()
+    ids = _ranked(pairs, [F.col(rid).asc_nulls_first(), F.col(rmark)], uid)
     hit = keyed[id_col].eqNullSafe(ids[rid]) & (keyed[mark] == ids[rmark])
     return keyed.join(ids, hit).select(*docs.columns, uid)
 
 
+def _ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Distinct ``rows`` and their rank from 0: a range sort, written once, and a count for each of its partitions."""
+    part, n, at = (free_name(c, [*rows.columns, name]) for c in ("_part", "_n", "_at"))
+    placed = staged(rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "uids")
+    placed = placed.withColumn(part, F.shiftright(at, 33))  # the partition stands above the row's 33 bits
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    before = sizes.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(n))  # a row for each partition
+    rank = F.col(n) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(before, part).select(*rows.columns, rank.alias(name))
+
+
 def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` as (uid, id, text); see ``add_uid``."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
