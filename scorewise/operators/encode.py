@@ -114,14 +114,18 @@ def baskets(
     id_col: str = "ID",
     known_levels: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """Item baskets: one item ``<col>_<value>`` per column, except each column's first level."""
-    lv = known_levels or levels(df, cols)
-    items = [
-        F.when(
-            F.col(c).isNotNull() & (F.col(c).cast("string") != F.lit(lv[c][0])),
-            F.concat(F.lit(f"{c}_"), F.col(c).cast("string")),
-        )
-        for c in cols
-        if lv[c]
-    ]
-    return df.select(F.col(id_col).alias("id"), F.array_compact(F.array(*items)).alias("items"))
+    """Item baskets: one item ``<col>_<value>`` per column, except each column's first level.
+
+    First levels are a one-row aggregate joined to the rows, so a column may
+    have any number of levels; ``known_levels`` (sorted) spares that pass.
+    """
+    if known_levels is None:
+        firsts = df.agg(*[F.min(F.col(f"`{c}`").cast("string")).alias(f"_first_{i}") for i, c in enumerate(cols)])
+        rows = df.crossJoin(F.broadcast(firsts))
+        first = [F.col(f"_first_{i}") for i in range(len(cols))]
+    else:
+        cols = [c for c in cols if known_levels[c]]
+        rows, first = df, [F.lit(known_levels[c][0]) for c in cols]
+    value = [F.col(f"`{c}`").cast("string") for c in cols]
+    items = [F.when(v != f, F.concat(F.lit(f"{c}_"), v)) for c, v, f in zip(cols, value, first)]
+    return rows.select(F.col(id_col).alias("id"), F.array_compact(F.array(*items)).alias("items"))

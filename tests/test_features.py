@@ -2,6 +2,7 @@
 
 import pytest
 
+from scorewise.operators import encode
 from scorewise.operators.encode import indicators
 from scorewise.plans import relational
 from scorewise.sources.tables import APPLICATION_SCHEMA
@@ -23,3 +24,13 @@ def test_all_features_and_columns(spark):
     p = relational.prepared(spark, "/root/testdata/sf0.01")
     rows = p.select(*indicators(p, relational.FEATURES)).toPandas()
     assert rows.shape[1] == 27 and (rows.nunique() >= 2).all()
+
+
+def test_baskets_of_wide_and_empty_columns(spark, monkeypatch):
+    monkeypatch.setattr(encode, "MAX_LEVELS", 2)  # one-hot columns are bounded, items are not
+    df = spark.range(50).selectExpr("id AS ID", "format_string('%02d', id) AS wide", "CAST(NULL AS STRING) AS none", "if(id % 2 = 0, 'a', NULL) AS one")
+    got = {r["id"]: r["items"] for r in encode.baskets(df, ["wide", "none", "one"]).collect()}
+    assert got == {i: [f"wide_{i:02d}"] if i else [] for i in range(50)}
+    assert encode.baskets(df.limit(0), ["wide", "one"]).count() == 0
+    known = {r["id"]: r["items"] for r in encode.baskets(df, ["none", "one"], known_levels={"none": [], "one": ["", "a"]}).collect()}
+    assert known == {i: [] if i % 2 else ["one_a"] for i in range(50)}
