@@ -93,20 +93,13 @@ def _hashed(rows: DataFrame) -> DataFrame:
                 node = np.zeros(batch.num_rows, np.int64)
                 vec: list[bytes | None] = [None] * batch.num_rows
                 posts: list[bytes | None] = [None] * batch.num_rows
-                by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-                for i, (x, k) in enumerate(zip(batch.column("embedding"), label)):
-                    values = x.values
-                    if values is None or not k.is_valid or not len(values) or values.null_count:
-                        continue
-                    v = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    if np.isfinite(v).all() and v.any():
-                        by_size.setdefault(len(v), []).append((i, v))
-                for some in by_size.values():
-                    x = np.array([v for _, v in some]) + 0.0  # -0 becomes 0
-                    number = buckets(unit_rows(x))
-                    for (i, _), v, b in zip(some, x, number):
-                        vec[i], posts[i] = v.tobytes(), b.astype("<i8").tobytes()
-                        key = hashlib.blake2b(vec[i] + repr(label[i].as_py()).encode(), digest_size=8).digest()
+                labels = label.to_pylist()
+                for at, x in _matrices(batch.column("embedding"), label.is_valid().to_numpy(zero_copy_only=False)):
+                    rows, codes = x.tobytes(), buckets(unit_rows(x)).astype("<i8")
+                    wide, long, code = 8 * x.shape[1], codes[0].nbytes, codes.tobytes()
+                    for j, i in enumerate(at.tolist()):
+                        vec[i], posts[i] = rows[j * wide : (j + 1) * wide], code[j * long : (j + 1) * long]
+                        key = hashlib.blake2b(vec[i] + repr(labels[i]).encode(), digest_size=8).digest()
                         node[i] = int.from_bytes(key, "little", signed=True)
                 none = np.array([v is None for v in vec])
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(node, mask=none), label, pa.array(vec, pa.binary()), pa.array(posts, pa.binary())], ["vec_id", "node", "label", "vec", "posts"])
@@ -116,6 +109,19 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "embedding", "label").mapInArrow(run, schema)
 
 
+def _matrices(vectors: pa.ListArray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, doubles [row, component]) of the vectors that can link, one matrix for each number of components."""
+    size = np.where(wanted, vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    start = vectors.offsets.to_numpy()[:-1].astype(np.int64)
+    values = vectors.values.to_numpy(zero_copy_only=False)  # null components become NaN
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        x = values[start[at][:, None] + np.arange(n)].astype(np.float64) + 0.0  # -0 becomes 0
+        links = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        if links.any():
+            yield at[links], x[links]
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))

@@ -225,6 +225,17 @@ def test_vectors(spark, monkeypatch, block):
     assert embed_dups.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", [pa.float32(), pa.float64()])
+def test_matrices_of_odd_vectors(kind):
+    """Null, empty, zero, non-finite vectors and those with null components stay out; a slice keeps its own rows."""
+    rows = [[9.0], [1.0, -0.0], None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf")], [3.0, 4.0], [2.0], [5.0, 6.0]]
+    vectors = pa.array(rows, pa.list_(kind)).slice(1)
+    wanted = np.array([True] * 9 + [False])
+    got = [(at.tolist(), x.tolist()) for at, x in embed_dups._matrices(vectors, wanted)]
+    assert got == [([8], [[2.0]]), ([0, 7], [[1.0, 0.0], [3.0, 4.0]])]
+    assert list(embed_dups._matrices(vectors.slice(0, 0), wanted[:0])) == []
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose((embed_dups.hadamard(x) ** 2).sum(axis=1), 32 * (x**2).sum(axis=1))
