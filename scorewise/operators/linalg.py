@@ -142,12 +142,18 @@ def add_constant(df: DataFrame, cols: list[str], name: str = CONST) -> DataFrame
 
 # --------------------------------------------------------------------------- PCA / SVD
 
+def signed(vecs: np.ndarray) -> np.ndarray:
+    """``vecs`` with the largest loading of each column (the first of equal ones) made positive."""
+    top = np.abs(vecs).round(12).argmax(axis=0)
+    return vecs * np.where(vecs[top, np.arange(vecs.shape[1])] < 0, -1.0, 1.0)
+
+
 def pca_spectrum(m: Moments, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues (descending) and vectors of the sample covariance of ``cols``."""
     cov = m.centered(cols) / (m.n - 1.0)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1]
-    return np.clip(vals[order], 0.0, None), vecs[:, order]
+    return np.clip(vals[order], 0.0, None), signed(vecs[:, order])
 
 
 def variance_table(spark: SparkSession, variances: list[float], ratios: list[float], scale: int = 6) -> DataFrame:
@@ -179,17 +185,33 @@ def components_for(table: DataFrame, threshold: float = 0.9) -> DataFrame:
     return table.agg(F.min(F.when(F.col("cumulative") >= threshold, F.col("component"))).alias("n_components"))
 
 
+def project(df: DataFrame, cols: list[str], centre: np.ndarray, axes: np.ndarray, prefix: str, keep: list[str] = ()) -> DataFrame:
+    """``keep`` and (x - centre) @ axes: one matrix product per Arrow batch, however many columns and axes.
+
+    A row with a null among ``cols`` gets nulls.
+    """
+    import pyarrow as pa
+
+    k = axes.shape[1]
+    keep = list(keep)
+    outs = [f"{prefix}{i + 1}" for i in range(k)]
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column("_x").flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(cols))
+            gone = flat.is_null().to_numpy(zero_copy_only=False).reshape(x.shape).any(axis=1)
+            y = (x - centre) @ axes
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(y[:, i], mask=gone) for i in range(k))], [*keep, *outs])
+
+    fields = df.select(*keep).schema.fields + [T.StructField(c, T.DoubleType()) for c in outs]
+    return df.select(*keep, F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).mapInArrow(run, T.StructType(fields))
+
+
 def pca_project(df: DataFrame, m: Moments, cols: list[str], k: int, keep: list[str] = ()) -> DataFrame:
-    """Centre and project onto the top-k principal axes — JVM expressions only."""
+    """Centred rows on the top-k principal axes, ``pc1`` to ``pck``."""
     _, vecs = pca_spectrum(m, cols)
-    idx = [m.index(c) for c in cols]
-    outs = []
-    for comp in range(k):
-        expr = F.lit(0.0)
-        for a, c in enumerate(cols):
-            expr = expr + (F.col(c) - F.lit(float(m.mean[idx[a]]))) * F.lit(float(vecs[a, comp]))
-        outs.append(expr.alias(f"pc{comp + 1}"))
-    return df.select(*keep, *outs)
+    return project(df, cols, m.mean[[m.index(c) for c in cols]], vecs[:, :k], "pc", keep)
 
 
 def svd_spectrum(m: Moments, cols: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +220,7 @@ def svd_spectrum(m: Moments, cols: list[str]) -> tuple[np.ndarray, np.ndarray, n
     g = m.uncentered(cols)
     vals, vecs = np.linalg.eigh(g)
     order = np.argsort(vals)[::-1]
-    vecs = vecs[:, order]
+    vecs = signed(vecs[:, order])
     s_pop = m.centered(cols) / m.n
     var = np.array([float(vecs[:, i] @ s_pop @ vecs[:, i]) for i in range(len(cols))])
     total = float(np.trace(s_pop))
@@ -212,14 +234,9 @@ def svd_table(spark: SparkSession, m: Moments, cols: list[str], n_components: in
 
 
 def svd_project(df: DataFrame, m: Moments, cols: list[str], k: int, keep: list[str] = ()) -> DataFrame:
+    """Rows on the top-k right singular vectors, ``sv1`` to ``svk``."""
     vecs, _, _ = svd_spectrum(m, cols)
-    outs = []
-    for comp in range(k):
-        expr = F.lit(0.0)
-        for a, c in enumerate(cols):
-            expr = expr + F.col(c) * F.lit(float(vecs[a, comp]))
-        outs.append(expr.alias(f"sv{comp + 1}"))
-    return df.select(*keep, *outs)
+    return project(df, cols, np.zeros(len(cols)), vecs[:, :k], "sv", keep)
 
 
 def svd_top_loading(spark: SparkSession, m: Moments, cols: list[str], k: int) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorewise.functions.scalar import round_even, split_bucket, split_bucket_sql
-from scorewise.operators import encode, evaluate, linalg, mine, ordinal
+from scorewise.functions.scalar import round_even, safe_ratio, split_bucket, split_bucket_sql
+from scorewise.operators import encode, evaluate, linalg, mine, ordinal, resample, sweep, tsqr
 from scorewise.plans.duck import PREP_CTE, with_fx
 from scorewise.plans.registry import query
 from scorewise.plans.relational import fx_reg, prepared
@@ -18,6 +18,7 @@ from scorewise.sources.fixtures import (
     OCCUPATIONS,
     fixture,
 )
+from scorewise.session import cut_lineage
 
 ENCODED = {
     "CODE_GENDER": ["F", "M"],
@@ -143,12 +144,38 @@ g AS (SELECT sum(x1 * x1) AS g11, sum(x1 * x2) AS g12, sum(x2 * x2) AS g22 FROM
 SELECT round_even(sqrt({_G1} / {_G2}), 3) AS condition_number FROM g""",
 )
 def condition_number(spark, sf):
-    m = linalg.moments(fx_reg(spark, sf), ["x1", "x2"])
-    return spark.createDataFrame([(linalg.condition_number(m, ["x1", "x2"]),)], "condition_number DOUBLE").select(
+    cond = tsqr.condition_number(fx_reg(spark, sf), tsqr.row_vector(["x1", "x2"]), 2)
+    return spark.createDataFrame([(cond,)], "condition_number DOUBLE").select(
         round_even("condition_number", 3).alias("condition_number")
     )
 
 
+@query("condition_numbers")
+def condition_numbers(spark, sf):
+    """Condition of the feature matrix, its PCA output, the balanced matrix and that one's SVD output."""
+    enc, feats = _model_matrix(spark, sf)
+    rows = enc.na.drop(subset=["response", *feats])
+    rows = cut_lineage(rows.select(F.col("ID").alias("id"), F.col("response").alias("label"), tsqr.row_vector(feats).alias("v")))
+    # the interpolated vectors are made once, not once for each column
+    balanced = cut_lineage(resample.smote(rows, seed=REG_SEED).select("v"))
+
+    def unpacked(df):
+        return df.select(*[F.col("v")[i].alias(c) for i, c in enumerate(feats)])
+
+    m, mb = linalg.moments(unpacked(rows), feats), linalg.moments(unpacked(balanced), feats)
+    pca = linalg.pca_project(unpacked(rows), m, feats, components_for_value(linalg.pca_table(spark, m, feats)))
+    svd = linalg.svd_project(unpacked(balanced), mb, feats, _svd_k(spark, mb, feats))
+    return tsqr.condition_table(
+        spark,
+        {
+            "features": (rows, F.col("v"), len(feats)),
+            "pca": (pca, tsqr.row_vector(pca.columns), len(pca.columns)),
+            "smote": (balanced, F.col("v"), len(feats)),
+            "svd": (svd, tsqr.row_vector(svd.columns), len(svd.columns)),
+        },
+    )
+
+
 @query(
     "svd_explained_variance",
     with_fx("fx_reg")
@@ -199,7 +226,7 @@ v AS (SELECT 'const' AS feature, n / (n - fitted) AS vif FROM c
 
 def _vif_fx(spark, sf):
     m = linalg.moments(fx_reg(spark, sf), ["x1", "x2"])
-    return linalg.vif_table(spark, m, [linalg.CONST, "x1", "x2"])
+    return sweep.vif_table(spark, m, [linalg.CONST, "x1", "x2"])
 
 
 @query("vif", _VIF_SQL + "\nSELECT feature, round_even(vif, 6) AS vif FROM v")
@@ -207,9 +234,26 @@ def vif(spark, sf):
     return _vif_fx(spark, sf)
 
 
-@query("vif_high", _VIF_SQL + "\nSELECT feature AS high_vif, round_even(vif, 6) AS vif FROM v WHERE vif > 10")
+#: Inverse of the correlation matrix by cofactors; z is mean over population deviation.
+_VIF3_SQL = (
+    with_fx("fx_collinear")
+    + """,
+s AS (SELECT corr(x1, x2) AS a, corr(x1, x3) AS b, corr(x2, x3) AS c,
+             avg(x1) / stddev_pop(x1) AS z1, avg(x2) / stddev_pop(x2) AS z2, avg(x3) / stddev_pop(x3) AS z3 FROM fx_collinear),
+d AS (SELECT *, 1 - a * a - b * b - c * c + 2 * a * b * c AS det FROM s),
+v AS (SELECT 'x1' AS feature, (1 - c * c) / det AS vif FROM d
+      UNION ALL SELECT 'x2', (1 - b * b) / det FROM d
+      UNION ALL SELECT 'x3', (1 - a * a) / det FROM d
+      UNION ALL SELECT 'const', 1 + (z1 * z1 * (1 - c * c) + z2 * z2 * (1 - b * b) + z3 * z3 * (1 - a * a)
+        + 2 * z1 * z2 * (b * c - a) + 2 * z1 * z3 * (a * c - b) + 2 * z2 * z3 * (a * b - c)) / det FROM d)"""
+)
+
+
+@query("vif_high", _VIF3_SQL + "\nSELECT feature AS high_vif, round_even(vif, 2) AS vif FROM v WHERE vif > 10")
 def vif_high(spark, sf):
-    return _vif_fx(spark, sf).filter(F.col("vif") > 10).withColumnRenamed("feature", "high_vif")
+    m = linalg.moments(fixture(spark, sf, "fx_collinear"), ["x1", "x2", "x3"])
+    out = sweep.vif_table(spark, m, [linalg.CONST, "x1", "x2", "x3"]).filter(F.col("vif") > 10)
+    return out.select(F.col("feature").alias("high_vif"), round_even("vif", 2).alias("vif"))
 
 
 # --------------------------------------------------------------------------- R: regression
@@ -305,19 +349,96 @@ def regression_series(spark, sf):
     return s.select("series", "pos", round_even("value", 6).alias("value"))
 
 
+_TERMS = [linalg.CONST, "x1", "x2", "x3"]
+P_MAX = 0.01
+
+
 def _backward(spark, sf):
     train, _ = _train_test(fx_reg(spark, sf))
     m = linalg.moments(train, ["x1", "x2", "x3", "y"])
-    return linalg.backward_elimination(m, [linalg.CONST, "x1", "x2", "x3"], "y", p_max=0.01)
+    return sweep.backward_elimination(m, _TERMS, "y", p_max=P_MAX)
+
+
+def _sweep_sql(m: str, k: str) -> str:
+    """Sweep of the 5 x 5 matrix ``m`` (a list, row by row) at row ``k``, both counted from 0."""
+
+    def at(i: str, j: str) -> str:
+        return f"{m}[({i}) * 5 + ({j}) + 1]"
+
+    i, j, d = "(e // 5)", "(e % 5)", at(k, k)
+    return f"""list_transform(range(25), lambda e: CASE
+      WHEN {i} = {k} AND {j} = {k} THEN 1 / {d} WHEN {i} = {k} THEN {at(i, j)} / {d} WHEN {j} = {k} THEN -{at(i, j)} / {d}
+      ELSE {at(i, j)} - {at(i, k)} * {at(k, j)} / {d} END)"""
+
+
+def _simpson_sql(low: str, high: str) -> str:
+    """Integral of cos(t)^(dof - 1) over [low, high] by 2,000 Simpson steps, without the constant."""
+    t = f"({low}) + (({high}) - ({low})) * i / 2000"
+    return f"((({high}) - ({low})) * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos({t}), dof - 1))))"
+
+
+_TOP = "least(pi() / 2, 40 / sqrt(dof))"  # beyond it the integrand is below 1e-300
+
+#: Student's two-sided tail of sqrt(t2): with t = sqrt(dof) tan(u) the density is cos(u)^(dof - 1).
+_TAIL = f"CASE WHEN atan(sqrt(t2 / dof)) >= {_TOP} THEN 0.0 ELSE {_simpson_sql('atan(sqrt(t2 / dof))', _TOP)} / {_simpson_sql('0.0', _TOP)} END"
 
 
-@query("ols_backward")
+def _elimination_sql() -> str:
+    """One row per step: the matrix with the active terms swept, its statistics and the weakest term."""
+    names = ["x1", "x2", "x3", "y"]
+    sums = [f"avg({a}) AS m{i}" for i, a in enumerate(names)]
+    sums += [f"covar_pop({a}, {b}) * count(*) AS c{i}{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    cells = ["1 / n", *[f"m{j}" for j in range(4)]]
+    for i in range(4):
+        cells += [f"-m{i}", *[f"c{min(i, j)}{max(i, j)}" for j in range(4)]]
+    stats = """SELECT *, n - len(act) AS dof, a[25] AS ssr,
+        list_transform(act, lambda k: a[k * 5 + 5] * a[k * 5 + 5] / (a[25] / (n - len(act)) * a[k * 6 + 1])) AS t2s"""
+    weakest = "SELECT *, list_min(t2s) AS t2, act[list_position(t2s, list_min(t2s))] AS worst"
+    with_p = f"SELECT *, {_TAIL} AS p"
+
+    def measured(src: str) -> str:
+        return f"{with_p} FROM ({weakest} FROM ({stats} FROM ({src})))"
+
+    first = f"SELECT 0 AS step, n, yty, c33 AS sst, {_sweep_sql('a2', '3')} AS a, [0, 1, 2, 3] AS act FROM (SELECT *, {_sweep_sql('a1', '2')} AS a2 FROM (SELECT *, {_sweep_sql('a0', '1')} AS a1 FROM start))"
+    after = f"SELECT step + 1 AS step, n, yty, sst, {_sweep_sql('a', 'worst')} AS a, list_filter(act, lambda k: k <> worst) AS act FROM steps WHERE p >= {P_MAX}"
+    return (
+        with_fx("fx_reg").replace("WITH ", "WITH RECURSIVE ", 1)
+        + f""",
+g AS (SELECT CAST(count(*) AS DOUBLE) AS n, {", ".join(sums)} FROM fx_reg WHERE {_TRAIN}),
+start AS (SELECT n, c33, c33 + n * m3 * m3 AS yty, [{", ".join(cells)}] AS a0 FROM g),
+steps AS ({measured(first)}
+  UNION ALL
+  {measured(after)}),
+named AS (SELECT *, CASE WHEN list_contains(act, 0) THEN 1 - ssr / sst ELSE 1 - ssr / yty END AS r2,
+                 CASE WHEN list_contains(act, 0) THEN 1 ELSE 0 END AS k0, -n / 2 * (ln(2 * pi() * ssr / n) + 1) AS llf FROM steps),
+last AS (SELECT n, dof, unnest(act) AS k, a, ssr FROM named WHERE p < {P_MAX}),
+coefs AS (SELECT ['const', 'x1', 'x2', 'x3'][k + 1] AS term, a[k * 5 + 5] AS coef, sqrt(ssr / dof * a[k * 6 + 1]) AS se, dof FROM last)"""
+    )
+
+
+_ELIMINATION = _elimination_sql()
+
+
+@query(
+    "ols_backward",
+    _ELIMINATION
+    + f""",
+tested AS (SELECT *, coef / se * (coef / se) AS t2 FROM coefs)
+SELECT term, round_even(coef, 6) AS coef, round_even(se, 6) AS std_err, round_even(coef / se, 6) AS t, round_even({_TAIL}, 6) AS p_value FROM tested""",
+)
 def ols_backward(spark, sf):
     fit, _, _ = _backward(spark, sf)
     return linalg.ols_coef_table(spark, fit)
 
 
-@query("ols_trace")
+@query(
+    "ols_trace",
+    _ELIMINATION
+    + f"""
+SELECT ['const', 'x1', 'x2', 'x3'][worst + 1] AS removed, round_even(-2 * llf + 2 * len(act), 3) AS aic,
+       round_even(-2 * llf + ln(n) * len(act), 3) AS bic, round_even(1 - (n - k0) / dof * (1 - r2), 3) AS r2_adj,
+       round_even(p, 3) AS p_value, round_even(r2, 3) AS r2 FROM named WHERE p >= {P_MAX}""",
+)
 def ols_trace(spark, sf):
     _, trace, _ = _backward(spark, sf)
     rows = [(f, float(a), float(b), float(r2a), float(p), float(r2)) for f, a, b, r2a, p, r2 in trace]
@@ -325,7 +446,17 @@ def ols_trace(spark, sf):
     return df.select("removed", *[round_even(c, 3).alias(c) for c in ["aic", "bic", "r2_adj", "p_value", "r2"]])
 
 
-@query("ols_conf_int")
+_Z = "1.959963984540054"
+
+
+@query(
+    "ols_conf_int",
+    _ELIMINATION
+    + f""",
+q AS (SELECT *, {_Z} + (pow({_Z}, 3) + {_Z}) / (4 * dof) + (5 * pow({_Z}, 5) + 16 * pow({_Z}, 3) + 3 * {_Z}) / (96 * dof * dof)
+             + (3 * pow({_Z}, 7) + 19 * pow({_Z}, 5) + 17 * pow({_Z}, 3) - 15 * {_Z}) / (384 * pow(dof, 3)) AS q FROM coefs)
+SELECT term, round_even(coef - q * se, 3) AS lower, round_even(coef + q * se, 3) AS upper FROM q""",
+)
 def ols_conf_int(spark, sf):
     fit, _, _ = _backward(spark, sf)
     return linalg.ols_conf_int(spark, fit)
@@ -335,15 +466,13 @@ def ols_conf_int(spark, sf):
 def ols_employment_ratio(spark, sf):
     """The reference's regression: employment / income ratio on the other features."""
     enc, feats = _model_matrix(spark, sf)
-    from scorewise.functions.scalar import safe_ratio
-
     df = enc.withColumn("employment_to_income", safe_ratio("DAYS_EMPLOYED", "AMT_INCOME_TOTAL")).filter(
         F.col("employment_to_income").isNotNull()
     )
     xs = [c for c in feats if c not in ("AMT_INCOME_TOTAL", "DAYS_EMPLOYED")]
     train = df.filter(split_bucket("ID", REG_SEED) >= 20)
     m = linalg.moments(train, xs + ["employment_to_income"])
-    fit, _, _ = linalg.backward_elimination(m, [linalg.CONST] + xs, "employment_to_income", p_max=0.01)
+    fit, _, _ = sweep.backward_elimination(m, [linalg.CONST] + xs, "employment_to_income", p_max=P_MAX)
     return linalg.ols_coef_table(spark, fit)
 
 

@@ -96,6 +96,14 @@ SELECT o_orderkey AS id,
 FROM orders
 """
 
+#: Three regressors of which one nearly follows from the other two.
+FX_COLLINEAR_SQL = """
+SELECT o_orderkey AS id,
+ CAST(o_orderkey % 101 AS DOUBLE) AS x1, CAST(o_custkey % 37 AS DOUBLE) AS x2,
+ 3.0 * (o_orderkey % 101) - 2.0 * (o_custkey % 37) + (o_orderkey % 13) / 4.0 AS x3
+FROM orders
+"""
+
 # DuckDB and Spark spell the element cast differently; the rest is shared.
 FX_POINTS_SPARK_SQL = """
 SELECT vec_id AS id, transform(embedding, x -> CAST(x AS DOUBLE)) AS v, label FROM embeddings
@@ -109,6 +117,7 @@ FIXTURE_SQL = {
     "fx_credit": FX_CREDIT_SQL,
     "fx_pred": FX_PRED_SQL,
     "fx_reg": FX_REG_SQL,
+    "fx_collinear": FX_COLLINEAR_SQL,
 }
 
 
@@ -118,6 +127,7 @@ NEEDS = {
     "fx_credit": ("orders",),
     "fx_pred": ("labels", "documents"),
     "fx_reg": ("orders",),
+    "fx_collinear": ("orders",),
     "fx_points": ("embeddings",),
 }
 
