@@ -291,8 +291,12 @@ def mlp(spark, sf):
 
 
 def _mlp_points(p):
-    est = MultilayerPerceptronClassifier(seed=SEED)  # its solver has no step size to vary
-    return est, ParamGridBuilder().addGrid(est.layers, [[p, 10, 10, 2], [p, 20, 20, 2]]).addGrid(est.maxIter, [100, 200]).build()
+    """Layers and iterations of the quasi-Newton solver; layers and step sizes of gradient descent, the only solver that has any."""
+    est = MultilayerPerceptronClassifier(seed=SEED)
+    layers = [[p, 10, 10, 2], [p, 20, 20, 2]]
+    newton = ParamGridBuilder().baseOn({est.solver: "l-bfgs"}).addGrid(est.layers, layers).addGrid(est.maxIter, [100, 200])
+    descent = ParamGridBuilder().baseOn({est.solver: "gd", est.maxIter: 100}).addGrid(est.layers, layers).addGrid(est.stepSize, [0.03, 0.3])
+    return est, newton.build() + descent.build()
 
 
 @query("mlp_grid")
