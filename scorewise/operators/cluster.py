@@ -3,23 +3,23 @@ sum of squares and the Euclidean silhouette.
 
 Spark's ``ClusteringEvaluator`` only offers squared-Euclidean and cosine
 silhouettes; the Euclidean one needs the mean distance from every row to
-every cluster.  It is computed in row blocks: each (block, block) pair is
-scored in numpy and emits only per-(row, cluster) distance sums, which a
-group-by adds up — pairs are never materialised as rows.
+every cluster.  It is computed in row blocks: each pair of blocks is met once,
+as matrix products over small tiles, and emits only each row's distance sums
+by cluster, which a group-by adds up — pairs are never materialised as rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewise.operators.neighbors import _as_matrix
 
 
 def kmeans(df: DataFrame, k: int, vec_col: str = "v", seed: int = 1, max_iter: int = 20):
@@ -141,69 +141,127 @@ def silhouette_squared(df: DataFrame, label_cols: list[str], vec_col: str = "v")
     return met.groupBy("s").agg(F.avg(value).alias("silhouette")).select(names[F.col("s")].alias("labeling"), "silhouette")
 
 
-def _exact_distances(xl: np.ndarray, xr: np.ndarray, chunk: int = 64) -> np.ndarray:
-    """Euclidean distances from direct differences (no |a|²+|b|²-2ab cancellation),
-    in row chunks so the temporary stays at chunk × |xr| × dim."""
-    out = np.empty((len(xl), len(xr)))
-    for i in range(0, len(xl), chunk):
-        diff = xl[i:i + chunk, None, :] - xr[None, :, :]
-        out[i:i + chunk] = np.sqrt((diff * diff).sum(-1))
-    return out
+#: Rows that are met side by side, and sums that a task holds for each of its two blocks.
+TILE_LEFT, TILE_RIGHT, HELD = 256, 2048, 4_000_000
+#: Blocks at least, so that medium inputs use all cores.
+MIN_BLOCKS = 16
+
+
+def distances(xl: np.ndarray, xr: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all pairs by |a|² + |b|² - 2ab; pairs so close that this loses digits are met directly."""
+    ln, rn = (xl * xl).sum(1), (xr * xr).sum(1)
+    d2 = xl @ xr.T
+    d2 *= -2.0
+    norms = ln[:, None] + rn[None, :]
+    d2 += norms
+    norms *= 1e-6
+    apart = d2 > norms
+    i, j = np.nonzero(~apart) if not apart.all() else ((), ())
+    for at in range(0, len(i), 65_536):
+        a, b = i[at : at + 65_536], j[at : at + 65_536]
+        diff = xl[a] - xr[b]
+        d2[a, b] = (diff * diff).sum(1)
+    return np.sqrt(d2, out=d2)
+
+
+def block_sums(xl: np.ndarray, il: np.ndarray, xr: np.ndarray | None, ir: np.ndarray | None) -> list[np.ndarray]:
+    """Summed distances from each left row to the right rows of each cluster, and from each right row to the left ones.
+
+    ``il`` and ``ir`` are the rows' 0/1 memberships, one column per (labelling, cluster);
+    without a right block the left one meets itself."""
+    mu = xl.mean(axis=0)  # centring keeps the norms small
+    xl = xl - mu
+    xr_, ir_ = (xl, il) if xr is None else (xr - mu, ir)
+    left, right = np.zeros((len(xl), il.shape[1])), None if xr is None else np.zeros((len(xr_), il.shape[1]))
+    for r in range(0, len(xr_), TILE_RIGHT):
+        xt, it = xr_[r : r + TILE_RIGHT], ir_[r : r + TILE_RIGHT]
+        for lo in range(0, len(xl), TILE_LEFT):
+            d = distances(xl[lo : lo + TILE_LEFT], xt)
+            left[lo : lo + TILE_LEFT] += d @ it
+            if right is not None:
+                right[r : r + TILE_RIGHT] += d.T @ il[lo : lo + TILE_LEFT]
+    return [left] if right is None else [left, right]
 
 
 def silhouette(
-    df: DataFrame, label_cols: list[str], id_col: str = "id", vec_col: str = "v", block_rows: int = 2048
+    df: DataFrame, label_cols: list[str], id_col: str = "id", vec_col: str = "v", block_rows: int = 32_768
 ) -> DataFrame:
     """Mean Euclidean silhouette for each labelling column in ``label_cols``.
 
     Returns (labeling, silhouette).  Singleton clusters score 0 (as sklearn).
+    All pairs are met, each once: a task gets two blocks and returns, for each
+    row, its distances to the other block summed by cluster.
     """
-    n = df.count()
-    nb = max(1, math.ceil(n / block_rows))
     base = df.select(
         F.col(id_col).alias("id"), F.col(vec_col).alias("v"),
         F.array(*[F.col(c).cast("long") for c in label_cols]).alias("labs"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"),
-    )
-    left = base.select(F.col("blk").alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"), "id", "v")
-    right = base.select(F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("lb"), F.col("blk").alias("rb"), "labs", "v")
-    n_lab = len(label_cols)
-
-    def score(key, lp, rp):
-        if lp.empty or rp.empty:
-            return pd.DataFrame({"id": [], "s": [], "cluster": [], "dsum": [], "cnt": []})
-        xl, xr = _as_matrix(lp["v"]), _as_matrix(rp["v"])
-        d = _exact_distances(xl, xr)
-        labs = np.stack([np.asarray(v) for v in rp["labs"].to_numpy()])
-        ids_out, s_out, c_out, sum_out, cnt_out = [], [], [], [], []
-        lids = lp["id"].to_numpy()
-        for s in range(n_lab):
-            lab = labs[:, s]
-            for c in np.unique(lab):
-                mask = lab == c
-                sums = d[:, mask].sum(1)
-                ids_out.append(lids)
-                s_out.append(np.full(len(lids), s))
-                c_out.append(np.full(len(lids), c))
-                sum_out.append(sums)
-                cnt_out.append(np.full(len(lids), int(mask.sum())))
-        return pd.DataFrame({
-            "id": np.concatenate(ids_out).astype("int64"), "s": np.concatenate(s_out).astype("int32"),
-            "cluster": np.concatenate(c_out).astype("int64"), "dsum": np.concatenate(sum_out),
-            "cnt": np.concatenate(cnt_out).astype("int64"),
-        })
-
-    partial = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(
-        score, "id long, s int, cluster long, dsum double, cnt long"
-    )
-    sums = partial.groupBy("id", "s", "cluster").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
-    own = base.select("id", F.posexplode("labs").alias("s", "own"))
-    j = sums.join(own, ["id", "s"])
-    per_row = j.groupBy("id", "s").agg(
-        F.max(F.when(F.col("cluster") == F.col("own"), F.col("dsum"))).alias("a_sum"),
-        F.max(F.when(F.col("cluster") == F.col("own"), F.col("cnt"))).alias("a_cnt"),
-        F.min(F.when(F.col("cluster") != F.col("own"), F.col("dsum") / F.col("cnt"))).alias("b"),
     )
+    sizes = base.select(F.posexplode("labs").alias("s", "c")).groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per cluster
+    cells = sorted((r["s"], r["c"], r["n"]) for r in sizes if r["c"] is not None)
+    if not cells:
+        return df.sparkSession.createDataFrame([], "labeling string, silhouette double")
+    code = {(s, c): i for i, (s, c, _) in enumerate(cells)}
+    n, width = sum(r["n"] for r in sizes if r["s"] == 0), len(cells)
+    size = max(1, min(block_rows, HELD // width, max(2048, math.ceil(n / MIN_BLOCKS))))
+    nb = math.ceil(n / size)
+    base = base.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
+    pairs = nb * (nb + 1) // 2
+    other = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("other")
+    met = base.select("*", other).select("id", "v", "labs", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    met = met.withColumn("task", (F.col("hi") * (F.col("hi") + 1) / 2).cast("int") + F.col("lo"))
+    dealt = met.repartitionById(min(pairs, 4096), F.pmod("task", F.lit(min(pairs, 4096))).cast("int")).sortWithinPartitions("task", "blk")
+
+    def block(parts: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(parts)
+        ids, v, labs = (t.column(c).combine_chunks() for c in ("id", "v", "labs"))
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        of = labs.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        member = np.zeros((len(ids), width))
+        for (s, c), i in code.items():
+            member[of[:, s] == c, i] = 1.0
+        return ids, x, member
+
+    def meet(parts: dict[int, list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+        blocks = [block(p) for p in parts.values()]
+        done = block_sums(*blocks[0][1:], *(blocks[1][1:] if len(blocks) == 2 else (None, None)))
+        step = max(1, 500_000 // width)
+        for (ids, *_), sums in zip(blocks, done):
+            for at in range(0, len(ids), step):
+                part = sums[at : at + step]
+                offsets = pa.array(np.arange(0, part.size + 1, width, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([ids[at : at + step], pa.ListArray.from_arrays(offsets, pa.array(part.reshape(-1)))], ["id", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, alone = None, {}, True  # a task of two blocks of which one has no rows meets no pairs
+        for batch in batches:
+            task, blk = batch.column("task").to_numpy(), batch.column("blk").to_numpy()
+            lo, hi = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
+            edges = (np.flatnonzero((task[1:] != task[:-1]) | (blk[1:] != blk[:-1])) + 1).tolist()
+            for a, b in zip([0, *edges], [*edges, len(task)]):
+                if b == a:
+                    continue
+                if task[a] != now:
+                    if parts and (alone or len(parts) == 2):
+                        yield from meet(parts)
+                    now, parts, alone = task[a], {}, lo[a] == hi[a]
+                parts.setdefault(int(blk[a]), []).append(batch.slice(a, b - a))
+        if parts and (alone or len(parts) == 2):
+            yield from meet(parts)
+
+    partial = dealt.mapInArrow(run, f"id {dict(base.dtypes)['id']}, d array<double>")
+    sums = partial.groupBy("id").agg(*[F.sum(F.col("d")[i]).alias(f"_{i}") for i in range(width)])
+    # an id that comes more than once has the distances of all its rows
+    own = base.select("id", "labs", F.count(F.lit(1)).over(Window.partitionBy("id")).alias("m"))
+    scores = []
+    for s in range(len(label_cols)):
+        mine = [(c, k, F.col(f"_{code[(s, c)]}")) for t, c, k in cells if t == s]
+        label = F.col("labs")[s]
+        a_sum = F.coalesce(*[F.when(label == c, d) for c, _, d in mine])
+        a_cnt = F.coalesce(*[F.when(label == c, k * F.col("m")) for c, k, _ in mine])
+        b = F.array_min(F.array(*[F.when(label != c, d / (k * F.col("m"))) for c, k, d in mine]))
+        scores.append(F.struct(F.lit(s).alias("s"), a_sum.alias("a_sum"), a_cnt.alias("a_cnt"), b.alias("b")))
+    rows = sums.join(own, "id").select("id", F.inline(F.array(*scores)))
+    per_row = rows.groupBy("id", "s").agg(F.max("a_sum").alias("a_sum"), F.max("a_cnt").alias("a_cnt"), F.min("b").alias("b"))
     a = F.try_divide(F.col("a_sum"), (F.col("a_cnt") - 1).cast("double"))
     sil = F.when((F.col("a_cnt") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0))
