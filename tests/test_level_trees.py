@@ -80,3 +80,43 @@ def test_rf_grid_grows_no_forest_of_spark(spark, points, monkeypatch):
     assert [r["params"] for r in got][:2] == [f"featureSubsetStrategy=1, maxDepth=3, minInstancesPerNode={n}, numTrees=100" for n in (1, 3)]
     assert len(got) == 16 and sum(r["is_best"] for r in got) == 1 and all(0.6 < r["mean_accuracy"] <= 1 for r in got)
     assert classifiers._tuned_forest(spark, d).first()["model"] == "random_forest_after_grid"
+
+
+def test_drawn_cuts_and_cut_off_trees(points):
+    """A larger least split is a cut-off tree; pruning takes all that costs less than alpha; drawn cuts lie within the node's values."""
+    rows, _ = forest.forest_rows(*points, "key", spread=True, n_bins=64)
+    trees = [Tree(0, 4, bootstrap=False), Tree(0, 4, entropy=True, drawn_cut=True, bootstrap=False)]
+    grown = level_trees.grow(rows, trees, 5, 7, 64)
+    data = forest._arrays(rows.toArrow())
+    held = level_trees.held_counts(rows, grown, 5)
+    assert held[0][:, 0].tolist() == [100, 100]
+    for least, depth in ((2, 5), (40, 5), (2, 2)):
+        want = by_hand(trees[0], 7, depth, data, data["weight"], least) > 0.5
+        hits = level_trees.pruned(grown, 0, False, depth, least, np.array([0.0]), held)[1]
+        assert hits[0] == (want == data["label"])[data["scored"]].sum()
+    split, hits = level_trees.pruned(grown, 0, False, 5, 2, np.array([0.0, 0.01, 1.0]), held)
+    assert split[0].sum() > split[1].sum() > split[2].sum() == 0 and not (split[1] & ~split[0]).any()
+    total, ones = grown.total[0], grown.ones[0]
+    r = level_trees.impurity(total, ones, False) / total[0]
+    for node in np.flatnonzero(split[1]):  # each kept subtree takes away more than alpha a leaf
+        below, todo = [], [node]
+        while todo:
+            t = todo.pop()
+            if split[1][t]:
+                todo += [2 * t + 1, 2 * t + 2]
+            else:
+                below.append(t)
+        assert (r[node] - r[below].sum()) / (len(below) - 1) > 0.01
+    at = np.flatnonzero(grown.feature[1] >= 0)
+    assert len(at) and (grown.total[1][2 * at + 1] > 0).all() and (grown.total[1][2 * at + 2] > 0).all()
+
+
+def test_dt_grid_searches_all_axes(spark, points):
+    train, test = points
+    d = classifiers.ModelData(train, train, test, list("abcd"))
+    d.splits = lambda folds=5: [(train, test), (train.filter("id >= 100"), train.filter("id < 100"))]
+    got = [r["params"] for r in classifiers.dt_grid(spark, d).collect()]
+    assert len(set(got)) == 2 * 3 * 2 * 2 * 3 * 10
+    assert got[0] == "ccpAlpha=0.0, impurity=gini, maxDepth=2, maxFeatures=all, minSamplesSplit=2, splitter=best"
+    row = classifiers._tuned_tree(spark, d).first()
+    assert row["model"] == "decision_tree_pre_pruned" and row["accuracy"] > 0.6
